@@ -19,15 +19,16 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v")))
+    """edges: u > v. Every u keeps its smallest neighbour, its others are linked to that."""
+    least = _least(edges)
+    moved = edges.join(least, "u")
+    pair = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return moved.select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,12 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are ignored; no edges give no rows.
     """
-    now = materialise(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     state = _state(now)
     while state[0]:
-        after = materialise(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
+        # distinct() only folds repeats, which the stars make many of; the stars themselves don't need it.
+        after = materialise(_small_star(_large_star(now)).distinct(), "edges")
         was, state = state, _state(after)
         drop_materialised(now)
         now = after

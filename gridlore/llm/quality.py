@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,9 +154,9 @@ def fit(
         partial = stats.where(fold != 0).mapInArrow(sums, "total binary").collect()  # `parts` rows of fixed size
         total = sum((np.frombuffer(p.total).reshape(width, width + 1) for p in partial), np.zeros((width, width + 1)))
         model.ridge = np.linalg.solve(total[:, :-1] + ridge * np.eye(width), total[:, -1])
-        held = stats.where(fold == 0).select("stats", "label").toPandas()  # a fifth of the bounded sample
-        if len(held):
-            x, y = model.raw(np.array(held["stats"].tolist())), held["label"].to_numpy(float)
+        held = stats.where(fold == 0).select("stats", "label").collect()  # a fifth of the bounded sample
+        if held:
+            x, y = model.raw(np.array([r["stats"] for r in held])), np.array([float(r["label"]) for r in held])
             model.knots_x, model.knots_y = isotonic(x, y)
         return model
     finally:
@@ -176,13 +175,13 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs without those that the classifier rejects; scored and filtered in one pass over the rows."""
-    model = fit(docs, labels)
+    model, at = fit(docs, labels), docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def quality(texts: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts))
-        for at in range(0, len(texts), 512):
-            out[at : at + 512] = model.score(np.array([statistics(t or "") for t in texts[at : at + 512]]))
-        return pd.Series(out)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in range(0, batch.num_rows, 512):
+                part = batch.slice(cut, 512)
+                stats = np.array([statistics(t or "") for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(model.score(stats) >= threshold))
 
-    return docs.where(quality("text") >= threshold)
+    return docs.mapInArrow(keep, docs.schema)

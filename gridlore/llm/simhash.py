@@ -5,9 +5,9 @@ fingerprint) goes on. Equal fingerprints fold into one node, so thousands of cop
 
 Links: a distinct fingerprint emits itself and its 64 one-bit variants (the ball of half the radius
 2). Two fingerprints differ in at most 2 bits exactly when their balls meet. Fingerprints that meet
-in a variant are each within one bit of it, so a variant has at most 65 of them and neighbours in
-their sorted order link all: the pairs are a chain of at most 64, verified by bit count, never all
-pairs. Any chance of a hot variant is excluded by that bound.
+in a variant are each within one bit of it, so a variant has at most 65 of them and links to the smallest of
+them connect all: at most 64 pairs a variant, verified by bit count, never all pairs. Any chance of a
+hot variant is excluded by that bound.
 
 Components over distinct fingerprints come from components(); the id is the smallest doc_id.
 
@@ -61,8 +61,8 @@ def ball_links(nodes: DataFrame) -> DataFrame:
     """(u, v) links that connect all of nodes' distinct fp within 2 bits. nodes: fp, distinct."""
     flips = F.array(*[F.lit(0).cast("long")], *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     balls = nodes.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
-    met = balls.select("fp", before.alias("other")).where("other is not null")
+    least = F.min("fp").over(Window.partitionBy("variant"))  # at most 65 rows a variant
+    met = balls.select("fp", least.alias("other")).where("other <> fp")
     return met.where("bit_count(fp ^ other) <= 2").select(F.col("other").alias("u"), F.col("fp").alias("v")).distinct()
 
 
