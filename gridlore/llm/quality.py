@@ -123,7 +123,7 @@ def fit(
     known = docs_text(docs).join(sample.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     stats = map_texts(known, "doc_id long, stats array<double>", rows).join(sample, "doc_id")
     # At most `parts` partitions of a bounded number of short vectors, whatever the input's size.
-    stats = stats.repartition(parts, "doc_id").persist()
+    stats = stats.repartition(parts, "doc_id").sortWithinPartitions("doc_id").persist()
     try:
         moments = stats.select(F.posexplode("stats"), "label").groupBy("pos").agg(
             F.avg("col").alias("mean"), F.stddev_pop("col").alias("std"), F.count("*").alias("n"), F.avg("label").alias("share")
@@ -151,7 +151,7 @@ def fit(
             yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
         fold = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5))
-        partial = stats.where(fold != 0).mapInArrow(sums, "total binary").collect()  # `parts` rows of fixed size
+        partial = stats.where(fold != 0).coalesce(parts).mapInArrow(sums, "total binary").collect()  # `parts` rows of fixed size
         total = sum((np.frombuffer(p.total).reshape(width, width + 1) for p in partial), np.zeros((width, width + 1)))
         model.ridge = np.linalg.solve(total[:, :-1] + ridge * np.eye(width), total[:, -1])
         held = stats.where(fold == 0).select("stats", "label").collect()  # a fifth of the bounded sample
