@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import grid_queries, history_queries, report_queries
+
+_PARTS = (history_queries, grid_queries, report_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
