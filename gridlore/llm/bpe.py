@@ -11,8 +11,9 @@ property of the merge list alone (MergeList.lookahead), so memory doesn't grow w
 Decoding. ByteTextDecoder is fed ids one at a time, maps each to bytes and passes them through an
 incremental UTF-8 decoder, so a character split over ids comes out once it is complete.
 
-Each distinct short pre-token runs through the transducer once per worker; a bounded table holds its
-ids. Long pre-tokens stream every time.
+Each distinct short pre-token is encoded once per worker, by the same test of neighbours inside one
+window; a bounded table holds its ids. Longer pre-tokens stream every time. Decoding works on the ids
+of the whole text.
 
 Defined cases: null and empty texts have no ids and decode to ''; repeated rows give repeated
 results; a null doc_id stays null; special strings inside a text count as the library's default has
@@ -28,7 +29,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -192,6 +193,35 @@ class Transducer:
         self.last = [-1] * (keep - 1) + [tokens[-1]] + self.last[done:]
         return tokens[:-1]
 
+    def window(self, text: str) -> list[int]:
+        """A whole pre-token that is not longer than the window: the one path whose neighbours all fit.
+
+        Takes the longest token that fits its left neighbour and goes back from where none does. The path
+        to a length is unique, so a length that has failed once has failed for good.
+        """
+        m, n, path, at, most, failed = self.merges, len(text), [], 0, len(text), set()
+        usable, crossing, longest = m.usable, m.crossing, m.longest
+        whole = text + m.suffix
+        left = -1
+        while at < n:
+            size = min(most, longest, n - at)
+            while size:
+                to = at + size
+                token = usable.get(text[at:to] if to < n else whole[at:])
+                if token is not None and to not in failed and (left < 0 or crossing(left, token) < 0):
+                    break
+                size -= 1
+            if size:
+                path.append(token)
+                at, most, left = at + size, n, token
+            elif path:
+                failed.add(at)
+                size = m.size[path.pop()]
+                at, most, left = at - size, size - 1, path[-1] if path else -1
+            else:
+                raise ValueError(f"no tokens for {text!r}")
+        return path
+
     def finish(self) -> list[int]:
         out: list[int] = []
         if self.held:
@@ -204,19 +234,25 @@ class Transducer:
 
 
 class ByteTextDecoder:
-    """ids -> text, one id at a time. join: the string between tokens, or None for byte-level joining."""
+    """ids -> text in pieces of any size. join: the string between tokens, or None for byte-level joining."""
 
     def __init__(self, tokens: dict[int, str], join: str | None = " "):
-        self.tokens, self.join, self.first = tokens, join, True
-        self.bytes = {c: b for b, c in enumerate(byte_alphabet())}
+        self.join, self.first = (None if join is None else join.encode()), True
+        of = {c: b for b, c in enumerate(byte_alphabet())}
+        if join is None:
+            self.bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for i, t in tokens.items()}
+        else:
+            self.bytes = {i: t.encode() for i, t in tokens.items()}
         self.utf8 = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
-    def feed(self, token_id: int) -> str:
-        token = self.tokens[token_id]
-        if self.join is None:
-            raw = bytes(self.bytes[c] for c in token) if all(c in self.bytes for c in token) else token.encode()
-        else:
-            raw = (token if self.first else self.join + token).encode()
+    def feed(self, ids: Iterable[int]) -> str:
+        """Text that is complete with these ids; an unfinished character waits for the next ones."""
+        parts = list(map(self.bytes.__getitem__, ids))
+        if not parts:
+            return ""
+        raw = (self.join or b"").join(parts)
+        if self.join and not self.first:
+            raw = self.join + raw
         self.first = False
         return self.utf8.decode(raw)
 
@@ -235,7 +271,8 @@ class WordEncoder:
         self._spaces = re.compile(f"[{SPACES}]+")
         self._special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
         self.transducer = Transducer(self.merges)
-        self.packed = BoundedCache(self._encode_word, 300_000)
+        self.packed = BoundedCache(self._encode_word, 400_000)
+        self.decoder = ByteTextDecoder(self.tokens)
         self._library = None
 
     @property
@@ -247,15 +284,17 @@ class WordEncoder:
         return self._library
 
     def word_ids(self, word: str) -> list[int]:
-        return self.transducer.feed(to_byte_alphabet(word)) + self.transducer.finish()
+        symbols = to_byte_alphabet(word)
+        if len(symbols) <= self.transducer.check:  # the word ends inside the window, nothing is emitted before
+            return self.transducer.window(symbols)
+        return self.transducer.feed(symbols) + self.transducer.finish()
 
-    def decoded(self, ids: list[int]) -> bytes:
-        decoder = ByteTextDecoder(self.tokens)
-        return "".join([decoder.feed(i) for i in ids] + [decoder.finish()]).encode()
+    def decoded(self, ids: list[int], step: int = 1 << 16) -> str:
+        parts = [self.decoder.feed(ids[at : at + step]) for at in range(0, len(ids), step)]
+        return "".join([*parts, self.decoder.finish()])
 
-    def _encode_word(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.word_ids(word)
-        return np.array(ids, "<u4").tobytes(), self.decoded(ids)
+    def _encode_word(self, word: str) -> bytes:
+        return np.array(self.word_ids(word), "<u4").tobytes()
 
     def words(self, text: str) -> list[str]:
         if not self.splitter.known(text):
@@ -267,17 +306,18 @@ class WordEncoder:
         norm = self._spaces.sub(" ", norm).replace("Σ", "σ").lower()
         return self.splitter.findall(norm)
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """(packed ids, decoded bytes) of each pre-token and special string in turn."""
+    def encode(self, text: str) -> bytes:
+        """The whole text's ids, packed as little-endian unsigned 32-bit integers."""
         get = self.packed.__getitem__
         if self._special is None or not any(s in text for s in self.merges.special):
-            yield from map(get, self.words(text))
-            return
+            return b"".join(map(get, self.words(text)))
+        out = []
         for part in self._special.split(text):
             if part in self.merges.special:
-                yield int(self.merges.special[part]).to_bytes(4, "little"), part.encode()
+                out.append(int(self.merges.special[part]).to_bytes(4, "little"))
             else:
-                yield from map(get, self.words(part))
+                out += map(get, self.words(part))
+        return b"".join(out)
 
 
 @functools.cache
@@ -292,14 +332,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False)
         encoder = word_encoder(tokenizer_path)
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for text in texts:
-            pieces = [*encoder.pieces(text)]
-            packed, decoded = b"".join([p[0] for p in pieces]), b" ".join([p[1] for p in pieces])
+            packed = encoder.encode(text)
+            ids = np.frombuffer(packed, "<u4")
+            decoded = encoder.decoded(ids.tolist())
             out["n_tokens"].append(len(packed) // 4)
             out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if with_ids:
-                out["ids"].append(np.frombuffer(packed, "<u4").astype("i8"))
-                out["decoded"].append(decoded.decode())
+                out["ids"].append(ids.astype("i8"))
+                out["decoded"].append(decoded)
         return {"doc_id": doc_ids} | out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -116,8 +118,6 @@ def telling_words(toxic: list[str], ordinary: list[str], gram: int = 4, ratio: f
     They are the toxic text that the toxic dictionary is trained on: other words of toxic documents
     are ordinary and would only teach what both classes share.
     """
-    from collections import Counter
-
     def spread(texts: list[str]) -> Counter:
         seen: Counter = Counter()
         for t in texts:
@@ -156,8 +156,6 @@ def fit_texts(ids: list[int], texts: list[str], y: np.ndarray, window: int = 512
     if not len(y) or y.min() == y.max():
         model.knots_y = np.array([float(y.mean()) if len(y) else 0.0])
         return model
-    import zlib
-
     half = np.array([zlib.crc32(b"fold" + str(i).encode()) % 2 for i in ids]) == 0
     tox = [t for t, k, h in zip(texts, y, half, strict=True) if k and h]
     plain = [t for t, k, h in zip(texts, y, half, strict=True) if not k and h]
@@ -173,12 +171,12 @@ def fit_texts(ids: list[int], texts: list[str], y: np.ndarray, window: int = 512
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_rows: int = 12_000, **options) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_rows: int = 6_000, **options) -> ToxicModel:
     """Fit on at most max_train_rows labelled rows (a documented bound), held in the driver's memory."""
     sample = F.broadcast(labelled_sample(labels, label, max_train_rows))
     known = docs_text(docs).join(sample, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    rows = known.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit_texts(rows["doc_id"].tolist(), rows["text"].tolist(), rows["label"].to_numpy(int), **options)
+    rows = sorted(known.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])  # the bounded sample
+    return fit_texts([r["doc_id"] for r in rows], [r["text"] for r in rows], np.array([r["label"] for r in rows], int), **options)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
