@@ -102,17 +102,17 @@ def _compressors(model: ToxicModel) -> tuple:
     return _made[model.key]
 
 
-def train_content(samples: list[bytes], size: int) -> bytes:
+def train_content(samples: list[bytes], size: int, **cover: int) -> bytes:
     """A zstandard-trained dictionary; where there is too little to train on, the newest samples as raw content."""
     if len(samples) >= 8:
         try:
-            return zstandard.train_dictionary(size, samples).as_bytes()
+            return zstandard.train_dictionary(size, samples, **cover).as_bytes()
         except zstandard.ZstdError:
             pass
     return b" ".join(samples)[-size:]
 
 
-def telling_words(toxic: list[str], ordinary: list[str], gram: int = 4, ratio: float = 8.0, least: int = 4) -> list[bytes]:
+def telling_words(toxic: list[str], ordinary: list[str], gram: int = 4, ratio: float = 8.0, share: float = 0.02) -> list[bytes]:
     """Occurrences in toxic documents of words with a letter group that is far commoner in toxic documents.
 
     They are the toxic text that the toxic dictionary is trained on: other words of toxic documents
@@ -127,6 +127,7 @@ def telling_words(toxic: list[str], ordinary: list[str], gram: int = 4, ratio: f
 
     a, b = spread(toxic), spread(ordinary)
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
+    least = max(4, share * na)
     telling = {g for g, n in a.items() if n >= least and n / na > ratio * (b[g] + 1) / nb}
     out = []
     for t in toxic:
@@ -161,7 +162,7 @@ def fit_texts(ids: list[int], texts: list[str], y: np.ndarray, window: int = 512
     plain = [t for t, k, h in zip(texts, y, half, strict=True) if not k and h]
     segments = telling_words(tox, plain)
     model.ordinary = train_content([w for t in plain[:4000] for w in windows(t, 512)[:40]], ordinary_bytes)
-    model.toxic = train_content([b"".join(segments[i : i + 8]) for i in range(0, len(segments), 8)], toxic_bytes) if segments else b""
+    model.toxic = train_content([b"".join(segments[i : i + 8]) for i in range(0, len(segments), 8)], toxic_bytes, k=40, d=8) if segments else b""
     rest = np.flatnonzero(~half)
     if not len(rest) or y[rest].min() == y[rest].max():
         rest = np.arange(len(y))
