@@ -80,7 +80,7 @@ def block_properties(s: Column) -> Column:
             F.array_distinct(keys),
             lambda k: F.struct(
                 k.alias("key"),
-                F.element_at(F.transform(F.filter(pairs, lambda t: F.split_part(t, F.lit("="), F.lit(1)) == k), lambda t: F.substr(t, F.instr(t, "=") + F.lit(1))), -1).alias("value"),
+                F.try_element_at(F.transform(F.filter(pairs, lambda t: F.split_part(t, F.lit("="), F.lit(1)) == k), lambda t: F.substr(t, F.instr(t, "=") + F.lit(1))), F.lit(-1)).alias("value"),
             ),
         )
     )

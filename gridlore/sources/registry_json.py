@@ -18,7 +18,7 @@ def registry(spark: SparkSession, root: str, protocol: int, kind: str) -> DataFr
     rows = raw.select(F.explode("entries").alias("e")).select(F.lit(protocol).alias("protocol"), "e.id", "e.name")
     rows = rows.where(F.col("id").between(0, (1 << 32) - 1 if kind == "tile" else (1 << 16) - 1))
     if kind == "block":
-        rows = rows.select("protocol", "id", block_base(F.col("name")).alias("name"), block_properties(F.col("name")).alias("properties"))
+        rows = rows.withColumn("properties", block_properties(F.col("name"))).withColumn("name", block_base(F.col("name")))
     return rows
 
 
