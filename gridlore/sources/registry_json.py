@@ -23,7 +23,7 @@ def registry(spark: SparkSession, root: str, protocol: int, kind: str) -> DataFr
 
 
 def discover(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """(path, length, rx, rz) of all files with the suffix below root; content is not read."""
+    """(path, length, rx, rz) of all files with the suffix below root; content is not read, empty files are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", "length", *parse_file_name(name, suffix))

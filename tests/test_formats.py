@@ -37,7 +37,7 @@ def test_registry_and_discovery(spark, tmp_path):
     got = {r.id: (r.name, r.properties) for r in registry_json.registry(spark, str(tmp_path), 765, "block").collect()}
     assert got == {1: ("oak_log", {"axis": "y"}), 2: ("x", {})}
     for name in ("r.5.7.region", "r.-1.-1.region", "notregion.region", "r.-1.-1.txt"):
-        (tmp_path / "765" / name).write_bytes(b"")
+        (tmp_path / "765" / name).write_bytes(b"x")
     found = {(r.path.rsplit("/", 1)[1], r.rx, r.rz) for r in registry_json.discover(spark, str(tmp_path), "region").collect()}
     assert found == {("r.5.7.region", 5, 7), ("r.-1.-1.region", -1, -1), ("notregion.region", None, None)}
 
