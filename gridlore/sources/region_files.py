@@ -149,20 +149,25 @@ def convert(files: DataFrame, source: rg.Layout, target: rg.Layout) -> DataFrame
         except ValueError as e:
             return {"in_bytes": len(content), "error": str(e)}
 
-    return _each_file(files, one, OUTCOME)
+    return each_file(files.select("path", "content"), lambda row: one(row["content"]), OUTCOME)
 
 
-def _each_file(files: DataFrame, work: Callable[[bytes | None], dict[str, Any]], fields: str) -> DataFrame:
+def each_file(files: DataFrame, work: Callable[[dict[str, Any]], dict[str, Any]], fields: str) -> DataFrame:
+    """All columns but content, and the fields that work makes of a row; content reaches it as bytes or None."""
     kinds = {f.split()[0]: f.split()[1] for f in fields.split(", ")}
-    as_pandas = {"long": "Int64", "boolean": "boolean"}
+    kept = [f for f in files.schema.fields if f.name != "content"]
+    as_pandas = {"long": "Int64", "bigint": "Int64", "int": "Int64", "boolean": "boolean"}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                got = work(None if content is None else bytes(content))
-                yield pd.DataFrame({"path": [path], **{n: pd.Series([got.get(n)], dtype=as_pandas.get(k, object)) for n, k in kinds.items()}})
-
-    return files.select("path", "content").mapInPandas(run, f"path string, {fields}")
+            for row in frame.to_dict("records"):
+                row = {k: bytes(v) if k == "content" and v is not None else v if k == "content" else _plain(v) for k, v in row.items()}
+                out = {f.name: (row[f.name], f.dataType.simpleString()) for f in kept}
+                got = work(row)
+                out |= {n: (got.get(n), k) for n, k in kinds.items()}
+                yield pd.DataFrame({n: pd.Series([v], dtype=as_pandas.get(k, object)) for n, (v, k) in out.items()})
+
+    return files.mapInPandas(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [fields]))
 
 
 def convert_summary(outcomes: DataFrame) -> DataFrame:
