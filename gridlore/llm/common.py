@@ -103,6 +103,24 @@ def fits_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYT
     return df.count() * bytes_per_row <= limit
 
 
+#: A group is hot if it holds more than one in so many of all rows, so fewer groups than this can be.
+HOT_GROUPS = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows left-joined with the row of their group; groups: unique non-null keys and a size, the count of their rows.
+
+    Groups of more than 1 in HOT_GROUPS of all rows are fewer than HOT_GROUPS, so they are broadcast however
+    large the input is, and their rows stay where they are. The others are shuffled; none of them is larger than
+    that share. Both inputs are read more than once and should be tables.
+    """
+    most = rows.count() // HOT_GROUPS
+    hot = F.broadcast(groups.where(F.col(size) > most))
+    here = rows.join(hot, keys)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= most), keys, "left")
+    return here.unionByName(rest)
+
+
 def docs_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that content operators read, so clashing extra columns can't matter."""
     return docs.select("doc_id", "text")

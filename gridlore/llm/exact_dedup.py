@@ -6,7 +6,8 @@
    normalised text of a hash are the same bytes, or the hash is a collision. Again both are partial
    aggregates, so no group meets in one place as rows.
 3. Rows of a colliding hash (normally none) are regrouped by hash and the text itself.
-4. The row that stays is a partial maximum of (code points, smallest doc_id).
+4. The row that stays is a partial maximum of (code points, smallest doc_id). Rows meet their group's row
+   where they are if the group is large, by a shuffle if it is small (common.join_groups).
 
 Defined cases: a null text counts as empty; rows with the same doc_id and text are members of their
 group like any other; a null doc_id stays only if the group has no other candidate of that length;
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, docs_text, materialise
+from .common import BROADCAST_BYTES, docs_text, join_groups, materialise
 
 #: The characters that do not count, \x20 and \x09 to \x0D.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -70,8 +71,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus")))
     groups = rows.groupBy("hash", "bytes").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("hash", "bytes", (-F.col("best.minus")).alias("keep_id"), "group_size")
-    shared = groups.where("group_size > 1")
-    joined = rows.join(shared, ["hash", "bytes"], "left")
+    shared = materialise(groups.where("group_size > 1"), "shared-groups")
+    joined = join_groups(rows, shared, ["hash", "bytes"], "group_size")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gridlore.llm import bpe, components, exact_dedup, media, mixing, pretokens, quality, registry, simhash, token_counts, token_files, toxicity, url_filter
+from gridlore.llm import bpe, common, components, exact_dedup, media, mixing, pretokens, quality, registry, simhash, token_counts, token_files, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -104,6 +104,19 @@ def test_exact_groups(odd, docs, none):
     assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("hot_groups", [1, 3, 4096])
+def test_join_groups(spark, monkeypatch, hot_groups):
+    """Groups of 30, 10 and 2 of 44 rows: whichever of them count as hot, every row meets its own group once."""
+    monkeypatch.setattr(common, "HOT_GROUPS", hot_groups)
+    keys = ["a"] * 30 + ["b"] * 10 + ["c"] * 2 + ["x", "y"]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
+    groups = spark.createDataFrame([("a", 30), ("b", 10), ("c", 2)], "k string, n long")
+    sizes = {"a": 30, "b": 10, "c": 2}
+    got = common.join_groups(rows, groups, ["k"], "n").select("i", "k", "n").collect()
+    assert sorted(map(tuple, got)) == [(i, k, sizes.get(k)) for i, k in enumerate(keys)]
+    assert common.join_groups(rows.limit(0), groups.limit(0), ["k"], "n").count() == 0
+
+
 def test_exact_groups_survive_hash_collisions(spark):
     keyed = spark.createDataFrame([("h", "a"), ("h", "b"), ("i", "c"), ("i", "c"), ("j", "d")], "hash string, norm string")
     assert [r.hash for r in exact_dedup.colliding_hashes(keyed).collect()] == ["h"]
