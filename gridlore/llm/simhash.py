@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import docs_text, map_texts, materialise
+from .common import docs_text, join_groups, map_texts, materialise
 from .components import components
 
 SEED = 42
@@ -69,12 +69,12 @@ def ball_links(nodes: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each input row."""
     prints = materialise(fingerprints(docs, width), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")), "nodes")
     roots = components(ball_links(nodes.select("fp"))).withColumnRenamed("u", "fp")
-    linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    linked = materialise(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+    least = materialise(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_nodes")), "least")
+    named = materialise(join_groups(linked, least, ["root"], "n_nodes").select("fp", "n_docs", "component_id"), "named")
+    return join_groups(prints, named, ["fp"], "n_docs").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
