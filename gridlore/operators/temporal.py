@@ -140,6 +140,16 @@ def replay_all(feed: DataFrame, keys: Sequence[str], pos: str, levels: int) -> D
     return won.where("won.op = 'put'").select(*keys, "at", pos, F.col("won.value").alias("value"))
 
 
+def replay_levels(feed: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """keyed_replay for every level that the keys have: an operation serves from its level to before the next older one of its pos."""
+    last = F.max("level").over(Window.partitionBy(*keys))  # level-0 Erases count as levels, so before they go
+    useful = feed.withColumn("last", last).where(~((F.col("level") == 0) & (F.col("op") == "erase")))
+    # The rows of one pos are partitioned alike, so this second window needs no new shuffle on the keys.
+    older = F.lead("level").over(Window.partitionBy(*keys, pos).orderBy("level"))
+    until = useful.withColumn("until", F.coalesce(older - 1, "last")).where("op = 'put' AND until >= level")
+    return until.select(*keys, F.explode(F.sequence("level", "until")).alias("at"), pos, "value")
+
+
 def complete_asof(df: DataFrame, entity: str, cell: str, n_cells: int, ts: str, value: str, at: int) -> DataFrame:
     """As-of over all cells; entities that lack a cell are dropped."""
     cells = asof(df, [entity, cell], ts, value, at)

@@ -115,6 +115,7 @@ QUERIES = {
     "keyed_diff": _diff,
     "keyed_replay": lambda s, d: t.keyed_replay(feed(s, d), ["user_id"], "pos", 3),
     "keyed_replay_all": lambda s, d: t.replay_all(feed(s, d), ["user_id"], "pos", 4),
+    "keyed_replay_levels": lambda s, d: t.replay_levels(feed(s, d), ["user_id"], "pos"),
     "complete_asof": lambda s, d: t.complete_asof(history(s, d), "user_id", "event_type", 5, "ts", "atom", T1),
     "min_latest": lambda s, d: t.min_latest(history(s, d), "user_id", "event_type", 5, "ts"),
     "update_changes": _update,
@@ -144,6 +145,9 @@ SELECT user_id, event_type, CASE WHEN was IS NULL THEN 'erase' ELSE 'put' END AS
     "keyed_replay": f"WITH {FEED} SELECT user_id, pos, value FROM (SELECT * FROM feed WHERE level <= 3 AND NOT (level = 0 AND op = 'erase') QUALIFY row_number() OVER (PARTITION BY user_id, pos ORDER BY level DESC) = 1) WHERE op = 'put'",
     "keyed_replay_all": f"""WITH {FEED} SELECT user_id, "at", pos, value FROM (SELECT feed.*, l."at" FROM feed JOIN range(4) AS l("at") ON level <= l."at" AND NOT (level = 0 AND op = 'erase')
 QUALIFY row_number() OVER (PARTITION BY user_id, l."at", pos ORDER BY level DESC) = 1) WHERE op = 'put'""",
+    "keyed_replay_levels": f"""WITH {FEED}, levels AS (SELECT user_id, level AS "at" FROM feed) SELECT user_id, "at", pos, value
+FROM (SELECT feed.*, l."at" FROM feed JOIN levels l ON feed.user_id = l.user_id AND level <= l."at" AND NOT (level = 0 AND op = 'erase')
+QUALIFY row_number() OVER (PARTITION BY feed.user_id, l."at", pos ORDER BY level DESC) = 1) WHERE op = 'put'""",
     "complete_asof": f"WITH {H}, a AS ({asof_sql(T1)}) SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY user_id) = 5",
     "min_latest": f"WITH {H}, l AS (SELECT user_id, event_type, max(ts) AS latest FROM h GROUP BY 1, 2) SELECT user_id, min(latest) AS min_latest FROM l GROUP BY 1 HAVING count(*) = 5",
     "update_changes": f"WITH {H}, a AS ({asof_sql(T1)}), b AS ({asof_sql(T2)}) SELECT user_id, count(*) FILTER (a.atom <> b.atom) AS changes FROM a JOIN b USING (user_id, event_type) GROUP BY user_id",

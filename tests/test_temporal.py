@@ -29,6 +29,25 @@ def test_keyed_diff(spark):
     assert {tuple(r) for r in t.keyed_diff(a, b, ["k"], "v").collect()} == {("c", "erase", None), ("b", "put", 2)}
 
 
+def test_keyed_replay_at_every_level(spark):
+    """Against the replay level by level, beyond the four levels of keyed_replay_all; each key has its own number of levels."""
+    ops = ["erase put put put erase put put put erase put".split(), ["put"] * 6, ["erase"], ["erase", "put"]]
+    rows = [(k, level, (level * level + k) % 3, op, 100 * k + level) for k, of_key in enumerate(ops) for level, op in enumerate(of_key)]
+    rows += [(1, 2, 7, "put", 27), (1, 4, 7, "erase", 0)]  # several positions in one level
+    want = []
+    for k, of_key in enumerate(ops):
+        now = {}
+        for at in range(len(of_key)):
+            for _, _, pos, op, value in (r for r in rows if r[:2] == (k, at)):
+                now.pop(pos, None) if op == "erase" else now.update({pos: value})
+            want += [(k, at, pos, value) for pos, value in now.items()]
+    feed = spark.createDataFrame(rows, "k int, level int, pos int, op string, value int")
+    got = t.replay_levels(feed, ["k"], "pos")
+    assert got.columns == ["k", "at", "pos", "value"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert max(at for _, at, _, _ in want) == 9
+
+
 def test_state_log(spark):
     log = spark.createDataFrame([(1, 1, "New", 1), (1, 2, "New", 2), (1, 3, "Old", 3), (1, 3, "New", 4)], "k int, ts long, s string, tie int")
     assert [(r.ts, r.s) for r in t.state_log(log, ["k"], "ts", "s", "tie").orderBy("ts").collect()] == [(1, "New"), (3, "Old")]
