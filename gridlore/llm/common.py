@@ -121,6 +121,39 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     return here.unionByName(rest)
 
 
+def row_content() -> Column:
+    """A row's text as 32 bytes; with doc_id they say which row it is."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the rows that are lost, and with one of the rows that share doc_id and text.
+
+    decided, a table: doc_id, content (row_content), n (the count of such rows), lost; all that are lost or
+    more than one. It is broadcast if it is small. Otherwise only entries of more than 1 in HOT_GROUPS of
+    all rows are, which are fewer than HOT_GROUPS, and no other is larger than that share. Of rows that differ in
+    other columns the one with the smallest hash stays; it is a partial minimum, so rows don't meet.
+    """
+    decided = decided.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("n").alias("__n"), "lost")
+    keyed = docs.withColumn("__key", row_content())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__content"))
+    most = 0 if fits_broadcast(decided, 96) else docs.count() // HOT_GROUPS
+    few, many = F.col("__n") > most, F.col("__n") <= most
+    rest = keyed.join(F.broadcast(decided.where(few)), same, "left_anti")
+    if most:
+        rest = rest.join(decided.where(many), same, "left_anti")
+    rest = rest.drop("__key")
+    repeated = decided.where("NOT lost")
+    if repeated.isEmpty():
+        return rest
+    again = keyed.join(F.broadcast(repeated.where(few)), same, "left_semi")
+    if most:
+        again = again.unionByName(keyed.join(repeated.where(many), same, "left_semi"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = again.groupBy("doc_id", "__key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+    return rest.unionByName(one.select("__row.*"))
+
+
 def docs_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that content operators read, so clashing extra columns can't matter."""
     return docs.select("doc_id", "text")

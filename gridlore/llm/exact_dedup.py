@@ -6,7 +6,7 @@
    normalised text of a hash are the same bytes, or the hash is a collision. Again both are partial
    aggregates, so no group meets in one place as rows.
 3. Rows of a colliding hash (normally none) are regrouped by hash and the text itself.
-4. The row that stays is a partial maximum of (code points, smallest doc_id). Rows meet their group's row
+4. The row that stays is a partial maximum of (code points, smallest doc_id; to drop copies, then the text's hash). Rows meet their group's row
    where they are if the group is large, by a shuffle if it is small (common.join_groups).
 
 Defined cases: a null text counts as empty; rows with the same doc_id and text are members of their
@@ -16,10 +16,10 @@ an empty table gives no rows; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, docs_text, join_groups, materialise
+from .common import BROADCAST_BYTES, docs_text, join_groups, keep_rows, materialise, row_content
 
 #: The characters that do not count, \x20 and \x09 to \x0D.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -51,8 +51,8 @@ def colliding_hashes(keyed: DataFrame) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), a row for each input row."""
+def _grouped(docs: DataFrame, carried: Column, order: list[str]) -> DataFrame:
+    """Each row's doc_id and carried column; for groups of several rows group_size and best, their row that stays."""
     keyed = _keyed(docs)
     colliding = materialise(colliding_hashes(keyed), "colliding-hashes")
     if colliding.isEmpty():
@@ -61,18 +61,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         keyed = keyed.join(colliding.withColumn("odd", F.lit(True)), "hash", "left").withColumn(
             "bytes", F.when(F.col("odd"), F.col("norm")).otherwise("")
         )
-    rows = materialise(
-        keyed.select(
-            "doc_id", "n_points", "hash", "bytes", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
-        ),
-        "hashed-rows",
-    )
+    rows = materialise(keyed.select("doc_id", "n_points", "hash", "bytes", carried), "hashed-rows")
     # The largest (code points, -doc_id): a null id orders below every other.
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus")))
+    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus"), *order))
     groups = rows.groupBy("hash", "bytes").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("hash", "bytes", (-F.col("best.minus")).alias("keep_id"), "group_size")
+    groups = groups.select("hash", "bytes", (-F.col("best.minus")).alias("keep_id"), *[F.col(f"best.{c}").alias(f"keep_{c}") for c in order], "group_size")
     shared = materialise(groups.where("group_size > 1"), "shared-groups")
-    joined = join_groups(rows, shared, ["hash", "bytes"], "group_size")
+    return join_groups(rows, shared, ["hash", "bytes"], "group_size")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), a row for each input row."""
+    joined = _grouped(docs, F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), [])
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",
@@ -84,11 +84,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, all columns kept. A repeated (doc_id, text) row stays once."""
-    groups = exact_groups(docs)
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    dropped = materialise(dropped, "dropped-ids")
-    if dropped.count() * 32 <= BROADCAST_BYTES:
-        dropped = F.broadcast(dropped)
-    rest = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped")), "left_anti")
-    return rest
+    """docs with one row of each group, all columns kept. A repeated (doc_id, text) row stays once.
+
+    Rows are told apart by doc_id and text, null ids too: of a group's rows with the most code points and then
+    the smallest doc_id, one stays.
+    """
+    rows = _grouped(docs, row_content().alias("content"), ["content"]).where("group_size > 1")
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("content") == F.col("keep_content")))
+    # doc_id and text have one group, so lost is the same in all rows of both.
+    decided = rows.groupBy("doc_id", "content").agg(F.count("*").alias("n"), F.first(lost).alias("lost"))
+    return keep_rows(docs, materialise(decided.where("lost OR n > 1"), "decided-rows"))

@@ -96,18 +96,25 @@ def word_tokens(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
 
 
+LEVELS = ["domain", "language", "source"]
+
+
+def level_columns(levels: Sequence[Column] | None) -> list[Column]:
+    """The levels of the tree as strings named like LEVELS."""
+    if levels is None:
+        levels = [F.regexp_extract("source", r"^([A-Za-z]*)", 1), F.col("lang"), F.col("source")]
+    return [c.cast("string").alias(n) for c, n in zip(levels, LEVELS, strict=True)]
+
+
 def mix(
     docs: DataFrame, levels: Sequence[Column] | None = None, tokens: Column | None = None, budget: float | None = None,
     weights: Mapping[tuple, float] | None = None, alpha: float = 0.8, max_epochs: int = 4, seed: int = 7, max_leaves: int = 100_000,
 ) -> DataFrame:
     """(doc_id, domain, language, source, n_tokens, epochs, leaf_budget): documents taken, and how often."""
     spark = docs.sparkSession
-    if levels is None:
-        domain = F.regexp_extract("source", r"^([A-Za-z]*)", 1)
-        levels = [domain, F.col("lang"), F.col("source")]
     tokens = word_tokens() if tokens is None else tokens
-    names = ["domain", "language", "source"]
-    rows = docs.select("doc_id", *[c.cast("string").alias(n) for c, n in zip(levels, names, strict=True)], tokens.alias("n_tokens"))
+    names = LEVELS
+    rows = docs.select("doc_id", *level_columns(levels), tokens.alias("n_tokens"))
     rows = materialise(rows, "mixing-rows")  # no texts from here on
     sums = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).limit(max_leaves + 1).collect()
     if len(sums) > max_leaves:
@@ -135,8 +142,16 @@ def mix(
     return ran.withColumn("epochs", epochs.cast("int")).where("epochs > 0").select("doc_id", *names, "n_tokens", "epochs", "leaf_budget")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each taken document as often as its epochs say; documents that aren't taken go."""
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("epochs").alias("__epochs"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__epochs"))).drop("__id", "__epochs", "__copy")
+def mixed_documents(docs: DataFrame, levels: Sequence[Column] | None = None, **options) -> DataFrame:
+    """docs with each taken document as often as its epochs say; documents that aren't taken go.
+
+    A document is taken by its leaf and doc_id: rows of one leaf that share the id have the same epochs.
+    """
+    on = ["doc_id", *LEVELS]
+    taken = mix(docs, levels, **options).groupBy(*[F.col(c).alias(f"__{c}") for c in on]).agg(F.max("epochs").alias("__epochs"))
+    placed = docs.select("*", F.struct(*level_columns(levels)).alias("__leaf"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id"))
+    for c in LEVELS:
+        same &= F.col(f"__leaf.{c}").eqNullSafe(F.col(f"__{c}"))
+    rows = placed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__epochs")))
+    return rows.drop("__leaf", "__epochs", "__copy", *[f"__{c}" for c in on])

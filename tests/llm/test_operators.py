@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridlore.llm import bpe, common, components, exact_dedup, media, mixing, pretokens, quality, registry, simhash, token_counts, token_files, toxicity, url_filter
 
@@ -104,6 +105,57 @@ def test_exact_groups(odd, docs, none):
     assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
+#: Null ids, ids with several texts, and rows that repeat: (doc_id, text, lang).
+SHARED = [
+    (None, "a lone text", "en"), (None, "copy one", "en"), (1, "copy one", "en"), (None, "copyone", "en"),
+    (2, "copy two", "en"), (2, "other text", "en"), (3, "copy two", "en"), (3, "third text", "en"), (1, "copy  two", "en"),
+    (4, "again", "en"), (4, "again", "en"), (4, "again", "fr"), (5, "ag ain", "en"), (5, "aga in", "en"),
+    (None, "no ids", "en"), (None, "no ids", "en"), (None, "no ids", "de"), (None, "n o ids", "en"),
+    (6, None, "en"), (6, "", "en"), (7, " ", "en"), (8, "unique", None), (9, "uni que now", "en"), (9, "x", "en"),
+]
+
+
+@pytest.fixture(params=["broadcast", "shuffled"])
+def joined_by(request, monkeypatch):
+    if request.param == "shuffled":
+        monkeypatch.setattr(common, "fits_broadcast", lambda *_: False)
+        monkeypatch.setattr(common, "HOT_GROUPS", 8)
+
+
+def test_drop_copies_of_rows_with_null_and_repeated_ids(spark, joined_by):
+    docs = spark.createDataFrame(SHARED, "doc_id long, text string, lang string").repartition(5)
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    groups = defaultdict(list)
+    for i, t, lang in SHARED:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, t, lang))
+    found = {re.sub(r"[\x20\x09-\x0D]", "", r.text or ""): tuple(r) for r in got.collect()}
+    assert got.count() == len(groups) and found.keys() == groups.keys()
+    for norm, members in groups.items():
+        rank = lambda x: (-len(x[1] or ""), x[0] is None, x[0] or 0)
+        assert found[norm] in members and rank(found[norm]) == min(map(rank, members))
+    assert exact_dedup.drop_copies(docs.where("1 = 0")).count() == 0
+    many = spark.createDataFrame([(None, "same", "en")] * 200 + SHARED, "doc_id long, text string, lang string")
+    assert exact_dedup.drop_copies(many).count() == len(groups) + 1
+
+
+def test_mixed_documents_by_leaf(spark):
+    """One id, or none, in several leaves: each row comes as often as its own leaf says."""
+    leaves = [("en", "a"), ("fr", "a"), ("fr", "b"), (None, "b"), ("en", None)]
+    rows = [(i, f"{'w ' * (k + 1)}{i}", *leaf) for k, leaf in enumerate(leaves) for i in (None, 1, 2, 3, 4, 5, 6)] + [(1, "w 1", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    weights = {("a", "en"): 10.0, ("a", "fr"): 0.1, ("b", "fr"): 5.0}
+    for options in ({"budget": 60, "weights": weights}, {"budget": 150, "weights": weights}, {"levels": [F.col("lang"), F.col("source"), F.lit("x")], "budget": 50}):
+        epochs = {(r.doc_id, r.domain, r.language, r.source): r.epochs for r in mixing.mix(docs, **options).collect()}
+        want = []
+        for r in rows:
+            leaf = (r[2], r[3], "x") if "levels" in options else (r[3] and re.match("[A-Za-z]*", r[3])[0], r[2], r[3])
+            want += [r] * epochs.get((r[0], *leaf), 0)
+        got = mixing.mixed_documents(docs, **options)
+        assert got.columns == docs.columns
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
 @pytest.mark.parametrize("hot_groups", [1, 3, 4096])
 def test_join_groups(spark, monkeypatch, hot_groups):
     """Groups of 30, 10 and 2 of 44 rows: whichever of them count as hot, every row meets its own group once."""
