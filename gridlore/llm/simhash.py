@@ -18,13 +18,15 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import docs_text, join_groups, map_texts, materialise
+from .common import docs_text, join_groups, keep_rows, map_texts, materialise
 from .components import components
 
 SEED = 42
@@ -66,21 +68,37 @@ def ball_links(nodes: DataFrame) -> DataFrame:
     return met.where("bit_count(fp ^ other) <= 2").select(F.col("other").alias("u"), F.col("fp").alias("v")).distinct()
 
 
+def _chosen(prints: DataFrame, member: Column) -> DataFrame:
+    """(fp, n_docs, chosen): the smallest member of each fingerprint's component. prints: a table with fp."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min(member).alias("first"), F.count("*").alias("n_docs")), "nodes")
+    roots = components(ball_links(nodes.select("fp"))).withColumnRenamed("u", "fp")
+    linked = materialise(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+    least = materialise(linked.groupBy("root").agg(F.min("first").alias("chosen"), F.count("*").alias("n_nodes")), "least")
+    return materialise(join_groups(linked, least, ["root"], "n_nodes").select("fp", "n_docs", "chosen"), "named")
+
+
 def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each input row."""
     prints = materialise(fingerprints(docs, width), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")), "nodes")
-    roots = components(ball_links(nodes.select("fp"))).withColumnRenamed("u", "fp")
-    linked = materialise(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
-    least = materialise(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_nodes")), "least")
-    named = materialise(join_groups(linked, least, ["root"], "n_nodes").select("fp", "n_docs", "component_id"), "named")
+    named = _chosen(prints, F.col("doc_id")).withColumnRenamed("chosen", "component_id")
     return join_groups(prints, named, ["fp"], "n_docs").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with the document of the smallest id of each group; a document without an id stays."""
-    groups = near_groups(docs, width)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group: that of the smallest id, or one without an id where no row has one.
+
+    Rows are told apart by doc_id and text; rows that share both stay once.
+    """
+
+    def rows(ids: list, texts: list[str]) -> dict:
+        return {"doc_id": ids, "fp": [fingerprint(t, width) for t in texts], "content": [sha256(t.encode("utf-8")).digest() for t in texts]}
+
+    prints = materialise(map_texts(docs_text(docs), "doc_id long, fp long, content binary", rows), "fingerprints")
+    named = _chosen(prints, F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "content"))
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("content") == F.col("chosen.content")))
+    # A text has one fingerprint and one component, so lost is the same in all rows of doc_id and text.
+    decided = join_groups(prints, named, ["fp"], "n_docs").groupBy("doc_id", "content")
+    decided = decided.agg(F.count("*").alias("n"), F.first(lost).alias("lost"))
+    return keep_rows(docs, materialise(decided.where("lost OR n > 1"), "decided-rows"))

@@ -139,6 +139,32 @@ def test_drop_copies_of_rows_with_null_and_repeated_ids(spark, joined_by):
     assert exact_dedup.drop_copies(many).count() == len(groups) + 1
 
 
+def test_drop_near_copies_of_rows_with_null_and_repeated_ids(spark, joined_by):
+    words = [f"word{k}" for k in range(400)]
+    near = " ".join([*words, "end"]), " ".join([*words, "END"]), " ".join(words).title() + " end"
+    far = [" ".join(f"{c}{k * k % 97}" for k in range(60)) for c in "pqrstu"]
+    rows = [
+        (None, near[0], "a"), (None, near[1], "a"), (None, near[1], "b"), (None, near[2], "a"),
+        (1, far[0], "a"), (1, far[1], "a"), (None, far[1], "a"), (0, far[1], "b"),
+        (2, far[2], "a"), (2, far[2], "a"), (2, far[2].upper(), "a"), (None, far[3], "a"), (3, far[4], "a"), (3, far[5], "a"), (4, None, "a"), (None, "", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[brute_fingerprint(r[1] or "")].append(r)
+    assert len(groups) == 8 and all((a ^ b).bit_count() > 2 for a in groups for b in groups if a != b)
+    got = simhash.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert sorted(brute_fingerprint(r[1] or "") for r in kept) == sorted(groups)
+    for r in kept:
+        members = groups[brute_fingerprint(r[1] or "")]
+        assert r in members and r[0] == min((m[0] for m in members if m[0] is not None), default=None)
+    assert simhash.drop_near_copies(docs.where("1 = 0")).count() == 0
+    ties = docs.where("lang = 'a'").unionByName(docs.where("lang = 'b'"))
+    assert sorted(map(repr, simhash.drop_near_copies(ties.repartition(2)).collect())) == sorted(map(repr, got.collect()))
+
+
 def test_mixed_documents_by_leaf(spark):
     """One id, or none, in several leaves: each row comes as often as its own leaf says."""
     leaves = [("en", "a"), ("fr", "a"), ("fr", "b"), (None, "b"), ("en", None)]
