@@ -2,8 +2,9 @@
 
 One dictionary is trained on toxic text and one on ordinary text. Every window of a text is
 compressed with both; a window that comes out shorter under the toxic dictionary holds what toxic
-text repeats. Windows of toxic documents are mostly ordinary, so training is repeated on the windows
-that the first pair of dictionaries holds for toxic. The per-document evidence (largest and summed
+text repeats. Ordinary training is on all windows of the training texts. Windows of toxic documents are
+mostly ordinary, so toxic training is on their telling words only: those with a letter group that is far
+commoner in toxic documents. The per-document evidence (largest and summed
 gains over all windows) is turned into a probability by thresholds calibrated on training rows that
 trained no dictionary.
 
@@ -161,7 +162,7 @@ def fit_texts(ids: list[int], texts: list[str], y: np.ndarray, window: int = 512
     tox = [t for t, k, h in zip(texts, y, half, strict=True) if k and h]
     plain = [t for t, k, h in zip(texts, y, half, strict=True) if not k and h]
     segments = telling_words(tox, plain)
-    model.ordinary = train_content([w for t in plain[:4000] for w in windows(t, 512)[:40]], ordinary_bytes)
+    model.ordinary = train_content([w for t in plain for w in windows(t, window)], ordinary_bytes)
     model.toxic = train_content([b"".join(segments[i : i + 8]) for i in range(0, len(segments), 8)], toxic_bytes, k=40, d=8) if segments else b""
     rest = np.flatnonzero(~half)
     if not len(rest) or y[rest].min() == y[rest].max():

@@ -328,6 +328,16 @@ def test_classifiers_on_odd_rows(odd, none, spark):
         made.score(odd, made.fit(odd, labels.where("1 = 0"))).count()
 
 
+def test_ordinary_dictionary_trains_on_whole_texts(monkeypatch):
+    trained = []
+    monkeypatch.setattr(toxicity, "train_content", lambda samples, size, **_: trained.append(samples) or b"")
+    texts = [" ".join(f"w{i}x{k}" for k in range(6000)) for i in range(8)] + ["bad words"] * 8
+    toxicity.fit_texts(list(range(16)), texts, np.array([0] * 8 + [1] * 8))
+    used = {t for i, t in enumerate(texts[:8]) if zlib.crc32(b"fold" + str(i).encode()) % 2 == 0}
+    assert used and all(len(t) > 40_000 for t in used)
+    assert sum(map(len, trained[0])) == sum(map(len, used)) and all(t.encode() in b"".join(trained[0]) for t in used)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert y.tolist() == [0.0, 0.5, 1.0] and x.tolist() == [1.0, 2.5, 4.0]
