@@ -52,13 +52,14 @@ def alaw_table() -> np.ndarray:
 
 
 def decode_adpcm(data: bytes, block_bytes: int) -> np.ndarray:
-    """Mono IMA ADPCM blocks (4-byte heads); a short last block is dropped."""
+    """Mono IMA ADPCM blocks (4-byte heads); of a short last block the bytes that are there, if its head is whole."""
     n = len(data) // block_bytes
+    short = data[n * block_bytes :]
     blocks = np.frombuffer(data[: n * block_bytes], "u1").reshape(n, block_bytes)
     value = blocks[:, :2].copy().view("<i2").ravel().astype(np.int64)
     index = np.clip(blocks[:, 2].astype(np.int64), 0, 88)
     body = blocks[:, 4:]
-    codes = np.stack([body & 15, body >> 4], axis=2).reshape(n, -1)
+    codes = np.stack([body & 15, body >> 4], axis=2).reshape(n, 2 * body.shape[1])
     out = np.empty((n, codes.shape[1] + 1), "<i2")
     out[:, 0] = value
     for i in range(codes.shape[1]):
@@ -68,7 +69,7 @@ def decode_adpcm(data: bytes, block_bytes: int) -> np.ndarray:
         value = np.clip(np.where(code & 8, value - size, value + size), -32768, 32767)
         index = np.clip(index + INDEX_STEPS[code & 7], 0, 88)
         out[:, i + 1] = value
-    return out.ravel()
+    return np.concatenate([out.ravel(), decode_adpcm(short, len(short))]) if len(short) >= 4 else out.ravel()
 
 
 def wav(data: bytes, tag: int, rate: int = 8000, bits: int = 8, block: int | None = None) -> bytes:

@@ -274,6 +274,17 @@ def test_media_codecs():
     assert media.decode_media(b"junk") is None and media.decode_media(None) is None
 
 
+@pytest.mark.parametrize("n", [0, 3, 4, 5, 255, 256, 257, 259, 260, 261, 700, 1023])
+def test_adpcm_keeps_a_short_last_block(n):
+    data = bytes((i * 73 + i // 7) % 256 for i in range(n))
+    rest = data[n // 256 * 256 :]
+    want = brute_adpcm(data, 256) + (brute_adpcm(rest, len(rest)) if len(rest) >= 4 else [])
+    assert media.decode_adpcm(data, 256).tolist() == want
+    assert len(want) == n // 256 * 505 + (len(rest) * 2 - 7 if len(rest) >= 4 else 0)
+    if n:
+        assert media.samples(media.wav(data, media.IMA_ADPCM, bits=4, block=256))[0].tolist() == want
+
+
 def test_media_columns(odd, none):
     texts = {r.doc_id: r.text or "" for r in odd.where("doc_id is not null").collect()}
     for r in media.media_columns(odd, with_media=True).where("doc_id is not null").collect():
