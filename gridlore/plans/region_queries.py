@@ -51,6 +51,7 @@ QUERIES = {
     "region_outcomes": _outcomes,
     "rans_roundtrip": _trips("documents", "doc_id", "static"),
     "range_roundtrip": _trips("benchmark", "item_id", "adaptive"),
+    "range_roundtrip_documents": _trips("documents", "doc_id", "adaptive"),
     "zstd_roundtrip": _trips("documents", "doc_id", "zstd"),
 }
 
@@ -62,5 +63,6 @@ SQL = {
 SELECT count(*) AS files, count(*) AS same, CAST(0 AS BIGINT) AS failed, CAST(sum(slots) * {SECTIONS[0] * 4096} AS BIGINT) AS voxels FROM r""",
     "rans_roundtrip": _trips_sql("documents", "doc_id"),
     "range_roundtrip": _trips_sql("benchmark", "item_id"),
+    "range_roundtrip_documents": _trips_sql("documents", "doc_id"),
     "zstd_roundtrip": _trips_sql("documents", "doc_id"),
 }
