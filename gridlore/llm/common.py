@@ -20,33 +20,53 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) one is made."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where that is unset, a session in one process (tests) gets a folder of its own; on a cluster, whose
+    machines share no local folder, it is one in the warehouse.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='gridlore-')}"
+        if spark.sparkContext.master.startswith("local"):
+            root = f"file://{tempfile.mkdtemp(prefix='gridlore-')}"
+        else:
+            root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/gridlore-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Folders that scratch_path() has named and drop_scratch() hasn't deleted.
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage through a table in the shared folder, which outlives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_materialised(df: DataFrame) -> None:
     """Delete the files behind a table made by materialise()."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete_folder(df.sparkSession, folder)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this session's operators wrote to the shared folder. Their results read it, so call this after these."""
+    while _WRITTEN:
+        delete_folder(spark, _WRITTEN.pop())
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

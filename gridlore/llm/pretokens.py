@@ -65,22 +65,24 @@ class TextSplitter:
 
 
 class BoundedCache(dict):
-    """word -> make(word) for short words, in two generations of entries / 2 each.
+    """word -> make(word) for words of bounded length, in two generations of entries / 2 each.
 
-    When the new generation is full it becomes the old one; words found there come back, so frequent
-    words stay. Longer words are computed each time.
+    A word is admitted when it is made for the second time, which a bit table of hashes remembers, so words
+    that come once don't drive out others. When the new generation is full it becomes the old one; words
+    found there come back, so frequent words stay. Longer words are made each time.
     """
 
-    def __init__(self, make, entries: int = 250_000, longest: int = 48):
+    def __init__(self, make, entries: int = 600_000, longest: int = 48, bits: int = 1 << 22):
         super().__init__()
-        self.make, self.half, self.longest, self.made, self.old = make, entries // 2, longest, 0, {}
+        self.make, self.half, self.longest, self.bits = make, entries // 2, longest, bits
+        self.made, self.marked, self.seen, self.old = 0, 0, bytearray(bits // 8), {}
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
             self.made += 1
-            if len(word) > self.longest:
+            if len(word) > self.longest or not self._second(word):
                 return value
         if len(self) >= self.half:
             self.old = dict(self)
@@ -88,6 +90,17 @@ class BoundedCache(dict):
         self[word] = value
         return value
 
+    def _second(self, word) -> bool:
+        at = hash(word) % self.bits
+        at, bit = at >> 3, 1 << (at & 7)
+        if self.seen[at] & bit:
+            return True
+        self.seen[at] |= bit
+        self.marked += 1
+        if self.marked > self.bits // 2:  # a full table would admit all
+            self.seen, self.marked = bytearray(self.bits // 8), 0
+        return False
+
 
 @functools.cache
 def byte_alphabet() -> list[str]:
@@ -108,39 +121,55 @@ def _byte_table() -> dict[int, str]:
 
 
 def to_byte_alphabet(word: str) -> str:
+    rest = word[1:] if word[:1] == " " else word
+    if rest.isascii() and rest.isalnum():  # the commonest kind of pre-token
+        return rest if rest is word else byte_alphabet()[0x20] + rest
     return word.encode("utf-8").decode("latin-1").translate(_byte_table())
 
 
+@functools.cache
+def _alphabet_bytes() -> dict[str, int]:
+    return {c: b for b, c in enumerate(byte_alphabet())}
+
+
+def from_byte_alphabet(piece: str) -> str:
+    return bytes(map(_alphabet_bytes().__getitem__, piece)).decode("utf-8")
+
+
 class ByteLevelEncoder:
     """Pieces of whole texts for a byte-level vocabulary file of the tokenizers library.
 
-    value(ids) is what the cache keeps of a pre-token (its length, its packed ids, ...).
+    value(ids) is what is kept of a pre-token (its length, its packed ids, ...).
     Special strings in a text count as the library's default has them: one id each.
     """
 
-    def __init__(self, path: str, value, entries: int = 250_000):
+    def __init__(self, path: str, value):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library.model._resize_cache(0)  # pieces keeps what comes back; the library's own table only costs time
         self.value, self.splitter = value, TextSplitter(BYTE_SPLIT)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        tokenize = self.library.model.tokenize
-        self.pieces = BoundedCache(lambda w: value([t.id for t in tokenize(to_byte_alphabet(w))]), entries)
+        self._tokenize = self.library.model.tokenize
+        self.pieces = BoundedCache(self.make)
+
+    def make(self, word: str):
+        return self.value([t.id for t in self._tokenize(to_byte_alphabet(word))])
 
-    def whole(self, text: str):
-        """The library's own result, for texts on which the Unicode tables may differ."""
-        return self.value(self.library.encode(text, add_special_tokens=False).ids)
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings; the library splits where the Unicode tables may differ."""
+        if self.splitter.known(text):
+            return self.splitter.findall(text)
+        return [from_byte_alphabet(piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def segments(self, text: str):
-        """('special', value) or ('words', [pre-token, ...]) in text order."""
+        """('special', id) or ('words', [pre-token, ...]) in text order."""
         if self._split is None or not any(s in text for s in self.special):
-            yield "words", self.splitter.findall(text)
+            yield "words", self.words(text)
             return
         for part in self._split.split(text):
             if part in self.special:
-                yield "special", self.value([self.special[part]])
+                yield "special", self.special[part]
             elif part:
-                yield "words", self.splitter.findall(part)
+                yield "words", self.words(part)

@@ -1,54 +1,168 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to document frequencies.
 
-The join is local: each Arrow slice groups its documents' pre-tokens into (pre-token, frequency)
-tables, looks every distinct pre-token up in a bounded per-worker table of piece counts and sums
-frequency times count. No id list is built, nothing is shuffled or broadcast, and memory is bounded
-by the slice and by the table's fixed number of entries, so the plan is one scan at any size.
+1. Documents are dealt to slices (bounded in rows and bytes, or one document). A slice becomes one row for
+   each of its distinct pre-tokens, with the packed (document, frequency) pairs, and one row of its documents.
+2. Pre-tokens are grouped over all slices, with partial sums on the map side, and each distinct one is
+   counted once, by the library.
+3. Frequencies meet counts by pre-token. Pre-tokens of more than 1 in HOT_GROUPS of all rows are so few
+   that they are broadcast; the others are shuffled, and none is larger than that share.
+4. Frequency times count is summed inside each slice; a slice's sums are one small array.
+
+No id list of a document is ever built, and no text is shuffled, only distinct pre-tokens of slices.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results;
-a null doc_id stays null; texts of any length are counted whole.
+a null doc_id stays null; texts of any length are counted whole; special strings inside a text count one each.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import docs_text, map_texts
+from .common import docs_text, join_groups, materialise
 from .pretokens import ByteLevelEncoder
 
+#: Bounds of a slice; a longer document is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+#: A pair of a frequency row, and an entry of a slice's row of documents.
+PAIR = np.dtype([("doc", "<u2"), ("n", "<u4")])
+DOC = np.dtype([("id", "<i8"), ("valid", "u1"), ("n_bytes", "<i8"), ("special", "<i8")])
+
 
 @functools.cache
 def _counter(path: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(path, len)
 
 
-def count_tokens(text: str, encoder: ByteLevelEncoder) -> int:
-    if not encoder.splitter.known(text):
-        return encoder.whole(text)
-    total = 0
-    for kind, part in encoder.segments(text):
-        if kind == "special":
-            total += part
-        else:
-            pieces = encoder.pieces
-            total += sum([n * pieces[w] for w, n in Counter(part).items()])
-    return total
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) within the bounds."""
+    for batch in batches:
+        ids, size = [], 0
+        texts: list[str] = []
+        for cut in range(0, batch.num_rows, 256):
+            part = batch.slice(cut, 256)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                text = text or ""
+                if ids and (len(ids) == SLICE_ROWS or size + len(text) > SLICE_BYTES):
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+        if ids:
+            yield ids, texts
+
+
+def binaries(raw: bytes, ends: np.ndarray) -> pa.Array:
+    """Consecutive parts of raw as a binary column."""
+    offsets = np.concatenate(([0], ends)).astype("<i4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def slice_rows(ids: list, texts: list[str], encoder: ByteLevelEncoder) -> tuple[bytes, list[str], pa.Array]:
+    """The packed documents of a slice, its distinct pre-tokens, and the pairs of each."""
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    docs, places, lengths = np.zeros(len(ids), DOC), [], []
+    docs["id"], docs["valid"] = [i or 0 for i in ids], [i is not None for i in ids]
+    for at, text in enumerate(texts):
+        docs["n_bytes"][at] = len(text.encode())
+        n = 0
+        for kind, part in encoder.segments(text):
+            if kind == "special":
+                docs["special"][at] += 1
+            else:
+                places.append(np.fromiter(map(number.__getitem__, part), np.int64, len(part)))
+                n += len(part)
+        lengths.append(n)
+    flat = np.concatenate([np.zeros(0, np.int64), *places])
+    key, n = np.unique(flat * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
+    pairs = np.empty(len(key), PAIR)
+    pairs["doc"], pairs["n"] = key % max(1, len(ids)), n
+    ends = np.searchsorted(key // max(1, len(ids)), np.arange(len(number)), "right")
+    return docs.tobytes(), list(number), binaries(pairs.tobytes(), ends * PAIR.itemsize)
+
+
+def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(slice, word, packed): a row for each distinct pre-token of a slice; word null: the slice's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _counter(tokenizer_path)
+        at = TaskContext.get().partitionId() << 32
+        for ids, texts in slices(batches):
+            packed, words, pairs = slice_rows(ids, texts, encoder)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([at]), "word": pa.array([None], pa.string()), "packed": pa.array([packed])})
+            for cut in range(0, len(words), 1 << 14):
+                some = pa.array(words[cut : cut + (1 << 14)], pa.string())
+                yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(some), at)), "word": some, "packed": pairs[cut : cut + (1 << 14)]})
+            at += 1
+
+    return docs_text(docs).mapInArrow(run, "slice long, word string, packed binary")
+
+
+def counted(words: DataFrame, tokenizer_path: str) -> DataFrame:
+    """words with pieces, the count of a pre-token's ids. words: word, n_rows; each word once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _counter(tokenizer_path)
+        for batch in batches:
+            pieces = pa.array(map(encoder.make, batch.column(0).to_pylist()), pa.int64(), size=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces], names=["word", "n_rows", "pieces"])
+
+    return words.select("word", "n_rows").mapInArrow(run, "word string, n_rows long, pieces long")
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, tokens) of each slice. batches: slice, packed, pieces, sorted; a slice's documents first."""
+    now, docs, total = None, None, None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        packed, pieces = batch.column(1), batch.column(2)
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if keys[a] != now:
+                if docs is not None:
+                    yield docs, total
+                now, docs = keys[a], np.frombuffer(packed[a].as_py(), DOC)
+                total = docs["special"].copy()
+                a += 1
+                if a == b:
+                    continue
+            part = packed.slice(a, b - a)
+            ends = np.frombuffer(part.buffers()[1], "<i4")[part.offset : part.offset + len(part) + 1]
+            raw = np.frombuffer(part.buffers()[2], "u1")[ends[0] : ends[-1]]
+            pairs = raw.view(PAIR)
+            n = np.repeat(pieces.slice(a, b - a).to_numpy(), np.diff(ends) // PAIR.itemsize) * pairs["n"]
+            total += np.bincount(pairs["doc"], n, len(total)).astype(np.int64)  # exact below 2^53
+    if docs is not None:
+        yield docs, total
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
+    rows = materialise(frequencies(docs, tokenizer_path), "frequencies", "zstd")
+    words = rows.where("word IS NOT NULL")
+    counts = counted(words.groupBy("word").agg(F.count("*").alias("n_rows")), tokenizer_path)
+    counts = materialise(counts, "piece-counts", "zstd")
+    joined = join_groups(words, counts, ["word"], "n_rows").select("slice", "packed", "pieces")
+    # A slice's documents come first in it: no pre-token has a negative count.
+    own = rows.where("word IS NULL").select("slice", "packed", F.lit(-1).cast("long").alias("pieces"))
 
-    def rows(ids: list, texts: list[str]) -> dict:
-        encoder = _counter(tokenizer_path)
-        counts = [count_tokens(t, encoder) for t in texts]
-        return {
-            "doc_id": ids,
-            "n_bytes": [len(t.encode()) for t in texts],
-            "n_tokens": counts,
-            "over_limit": [n > limit for n in counts],
-        }
-
-    return map_texts(docs_text(docs), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, total in _sums(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs["id"], mask=docs["valid"] == 0), pa.array(docs["n_bytes"]), pa.array(total), pa.array(total > limit)],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+            )
+
+    summed = own.unionByName(joined).repartition("slice").sortWithinPartitions("slice", "pieces")
+    return summed.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -3,10 +3,11 @@
 write_token_files() range-partitions documents by doc_id, encodes each partition once and writes
   shard-NNNNNN.bin   ids, unsigned little-endian, 16 bits where the vocabulary allows, else 32
   shard-NNNNNN.idx   unsigned 64-bit offsets (documents + 1 of them), counted in ids
-  shard-NNNNNN.doc   doc ids as signed 64-bit, then one validity byte a document
+  shard-NNNNNN.doc   a doc id as signed 64-bit and a validity byte for each document
 Files appear under their final name by a rename, so a task that is run again after a lost executor
 replaces a file by the same bytes. A shard's base is the prefix sum of the shards before it; only one
-row a shard (never a document) comes to the driver for that.
+row a shard (never a document) comes to the driver for that. Shards are sized by the texts' bytes, and all
+three files are written as streams.
 
 read_token_files() maps the files into memory (on a store without local paths it reads them whole,
 a shard at a time) and gives one row a document.
@@ -21,9 +22,12 @@ from __future__ import annotations
 import functools
 import json
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +42,28 @@ from .pretokens import ByteLevelEncoder
 SHARD = "shard-{:06d}"
 
 
-def _pack16(ids: list[int]) -> bytes:
-    return np.array(ids, "<u2").tobytes()
+#: A shard holds about this much text at most, and a shard of a small table at least the other.
+SHARD_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
+#: One entry of a .doc file.
+DOC = np.dtype([("id", "<i8"), ("valid", "u1")])
 
 
-def _pack32(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _packer(width: int):
+    kind = {array(c).itemsize: c for c in "HIL"}[width]
+    if sys.byteorder == "little":
+        return lambda ids: array(kind, ids).tobytes()
+    return lambda ids: np.array(ids, f"<u{width}").tobytes()
 
 
 @functools.cache
 def _encoder(path: str, width: int) -> ByteLevelEncoder:
-    return ByteLevelEncoder(path, _pack16 if width == 2 else _pack32)
+    return ByteLevelEncoder(path, _packer(width))
 
 
 def encode_packed(text: str, encoder: ByteLevelEncoder) -> bytes:
     """The text's ids as packed integers, through the distinct pre-token table."""
-    if not encoder.splitter.known(text):
-        return encoder.whole(text)
     get = encoder.pieces.__getitem__
-    return b"".join([part if kind == "special" else b"".join(map(get, part)) for kind, part in encoder.segments(text)])
+    return b"".join([encoder.value([part]) if kind == "special" else b"".join(map(get, part)) for kind, part in encoder.segments(text)])
 
 
 def id_width(tokenizer_path: str) -> int:
@@ -65,13 +72,11 @@ def id_width(tokenizer_path: str) -> int:
     return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def _replace(fs: pafs.FileSystem, path: str, chunks: list[bytes]) -> None:
-    """Write beside and rename, so that readers and repeated tasks see whole files only."""
-    beside = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(beside) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    fs.move(beside, path)
+def shard_count(docs: DataFrame) -> int:
+    """Shards by the texts' bytes: none much over SHARD_BYTES, and no more than shuffle partitions below LEAST_BYTES each."""
+    size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    dealt = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES)
+    return max(1, dealt, -(-size // SHARD_BYTES))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0) -> DataFrame:
@@ -86,33 +91,37 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         encoder = _encoder(tokenizer_path, width)
         shard = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
-        name = f"{root}/{SHARD.format(shard)}"
-        offsets, ids, at = [np.zeros(1, "<u8")], [], 0
-        beside = f"{name}.bin.{uuid.uuid4().hex}"
-        with fs.open_output_stream(beside) as out:
+        name, own = f"{root}/{SHARD.format(shard)}", uuid.uuid4().hex
+        beside = {kind: f"{name}.{kind}.{own}" for kind in ("bin", "idx", "doc")}
+        at = n_docs = 0
+        with ExitStack() as stack:
+            out = {kind: stack.enter_context(fs.open_output_stream(path)) for kind, path in beside.items()}
+            out["idx"].write(bytes(8))
             for batch in batches:
                 for cut in range(0, batch.num_rows, 256):
                     part = batch.slice(cut, 256)
                     packed = [encode_packed(t or "", encoder) + end for t in part.column(1).to_pylist()]
-                    lengths = np.array([len(p) // width for p in packed], "<u8")
-                    offsets.append(at + np.cumsum(lengths))
-                    at = int(offsets[-1][-1])
-                    ids += part.column(0).to_pylist()
-                    out.write(b"".join(packed))
-        if not ids:
-            fs.delete_file(beside)
-            return
-        fs.move(beside, f"{name}.bin")
-        _replace(fs, f"{name}.idx", [np.concatenate(offsets).astype("<u8").tobytes()])
-        valid = np.array([i is not None for i in ids], "u1")
-        _replace(fs, f"{name}.doc", [np.array([i or 0 for i in ids], "<i8").tobytes(), valid.tobytes()])
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(ids)], "n_ids": [at]})
-
+                    offsets = at + np.cumsum([len(p) // width for p in packed], dtype="<u8")
+                    ids = part.column(0)
+                    docs = np.empty(len(ids), DOC)
+                    docs["id"], docs["valid"] = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+                    out["bin"].write(b"".join(packed))
+                    out["idx"].write(offsets.astype("<u8").tobytes())
+                    out["doc"].write(docs.tobytes())
+                    at, n_docs = int(offsets[-1]), n_docs + len(ids)
+        # Whole files appear under their names, so readers and repeated tasks never see parts.
+        for kind, path in beside.items():
+            fs.move(path, f"{name}.{kind}") if n_docs else fs.delete_file(path)
+        if n_docs:
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_ids": [at]})
+
+    # Rows that agree in doc_id and text have the same ids, so any order of them gives the same files; the
+    # last key only lets very many of them lie in several shards.
+    keys = ["doc_id", "tie", "spread"]
     dealt = (
-        docs.select("doc_id", "text")
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("spread"))
+        .repartitionByRange(shard_count(docs), *keys)
+        .sortWithinPartitions(*keys)
         .select("doc_id", "text")
     )
     manifest = dealt.mapInArrow(encode, "shard long, n_docs long, n_ids long")
@@ -121,14 +130,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     for shard, n_docs, n_ids in rows:
         listed.append({"shard": shard, "n_docs": n_docs, "n_ids": n_ids, "base": base})
         base += n_ids
-    _replace(fs, f"{root}/manifest.json", [json.dumps({"width": width, "shards": listed}).encode()])
+    with fs.open_output_stream(f"{root}/manifest.json") as out:
+        out.write(json.dumps({"width": width, "shards": listed}).encode())
     return spark.createDataFrame(
         [(s["shard"], s["n_docs"], s["n_ids"], s["base"]) for s in listed],
         "shard long, n_docs long, n_ids long, base long",
     )
 
 
-def _mapped(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
+def _mapped(fs: pafs.FileSystem, path: str, dtype) -> np.ndarray:
     """A memory map where the file is local, else the bytes of this one shard."""
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
@@ -152,14 +162,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 ids = _mapped(fs, f"{name}.bin", "<u2" if width == 2 else "<u4")
                 offsets = _mapped(fs, f"{name}.idx", "<u8").astype("i8")
                 n = len(offsets) - 1
-                raw = _mapped(fs, f"{name}.doc", "u1")
-                doc_ids, valid = raw[: 8 * n].view("<i8"), raw[8 * n :]
+                docs = _mapped(fs, f"{name}.doc", DOC)
                 for cut in range(0, n, 4096):
                     some = range(cut, min(cut + 4096, n))
                     crc = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4")) for i in some]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.asarray(doc_ids[cut : some.stop]), pa.int64(), mask=np.asarray(valid[cut : some.stop]) == 0),
+                            pa.array(docs["id"][cut : some.stop], pa.int64(), mask=docs["valid"][cut : some.stop] == 0),
                             pa.array(offsets[cut : some.stop] + shard["base"], pa.int64()),
                             pa.array(np.diff(offsets[cut : some.stop + 1]), pa.int64()),
                             pa.array(crc, pa.int64()),

@@ -79,9 +79,13 @@ def test_token_counts(odd, docs, none):
 
 def test_token_files(odd, docs, none):
     lib, path = library("byte_bpe_50k.json"), registry.tokenizer("byte_bpe_50k.json")
-    for df in (odd.where("doc_id <> 3"), docs):
+    def tie(text):  # rows of one doc_id lie in the order of the text's hash, a null text's being the seed
+        v = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return v - (1 << 64) if v >> 63 else v
+
+    for df in (odd, odd.unionByName(odd).repartition(7), docs):
         start, want = 0, []
-        for r in sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+        for r in sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, tie(r.text))):
             ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 0]
             want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
@@ -89,6 +93,44 @@ def test_token_files(odd, docs, none):
     assert token_files.token_files(none, path).count() == 0
 
 
+def test_token_files_in_many_shards(odd, monkeypatch):
+    """A third of all rows are one document: its rows may lie in several shards, and offsets stay whole."""
+    path = registry.tokenizer("byte_bpe_50k.json")
+    hot = odd.unionByName(odd.where("doc_id = 4").crossJoin(odd.sparkSession.range(40)).drop("id"))
+    want = sorted(map(repr, token_files.token_files(hot, path).collect()))
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2000)
+    assert token_files.shard_count(hot) > 10
+    assert sorted(map(repr, token_files.token_files(hot, path).collect())) == want
+
+
+def test_bounded_cache_admits_on_second_sight():
+    made = []
+    cache = pretokens.BoundedCache(lambda w: made.append(w) or len(w), entries=4, longest=5)
+    assert [cache[w] for w in ("a", "a", "a", "bb", "bb", "bb", "longer", "longer")] == [1, 1, 1, 2, 2, 2, 6, 6]
+    assert made == ["a", "a", "bb", "bb", "longer", "longer"] and set(cache) == {"a", "bb"}
+    for w in "cdefg" * 3:
+        assert cache[w] == 1
+    assert len(cache) <= 2 and len(cache.old) <= 2
+
+
+def test_token_counts_in_small_slices(odd, docs, monkeypatch, joined_by):
+    lib, path = library("byte_bpe_50k.json"), registry.tokenizer("byte_bpe_50k.json")
+    monkeypatch.setattr(token_counts, "SLICE_ROWS", 3)
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 900)
+    df = odd.unionByName(odd).select("doc_id", "text").unionByName(docs.select("doc_id", "text").limit(60))
+    want = [(r.doc_id, len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect()]
+    got = token_counts.token_counts(df, path).select("doc_id", "n_tokens").collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+
+
+def test_each_distinct_pretoken_is_counted_once(docs):
+    path = registry.tokenizer("byte_bpe_50k.json")
+    rows = token_counts.frequencies(docs.repartition(6), path).where("word IS NOT NULL")
+    words = rows.groupBy("word").agg(F.count("*").alias("n_rows"))
+    seen = [r.word for r in token_counts.counted(words, path).collect()]
+    assert len(seen) == len(set(seen)) == rows.select("word").distinct().count()
+
+
 def test_exact_groups(odd, docs, none):
     for df in (odd, docs):
         groups = defaultdict(list)
