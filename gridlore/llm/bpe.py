@@ -1,19 +1,20 @@
 """BPE encoding and decoding as streaming transducers.
 
 Encoding. A byte-pair tokenisation is correct exactly when each neighbouring pair of its tokens is:
-merging the pair's own symbols must give back those two tokens. So every prefix of a pre-token has
-one correct last token, and the last tokens form a tree of prefix lengths. A token that ends at a
-later position j starts at j - L or after, L being the longest token's symbols, which the merge list
-fixes. All paths of future symbols therefore pass through the L newest prefixes, and whatever the
-paths of these share is final: it is emitted and forgotten. The lookahead that always suffices is a
-property of the merge list alone (MergeList.lookahead), so memory doesn't grow with the text.
+merging the pair's own symbols must give back those two tokens, so every prefix of a pre-token has one
+correct path of tokens. What follows a token can change it only by a merge across its right edge, and
+whether merge r happens there depends on the symbols of r's right part and, where these may be taken by
+earlier merges across their own right edges, on what follows these. Ranks fall along such a chain, so the
+longest one is found by one pass over the merge list: MergeList.lookahead. A token is emitted once that many
+symbols after it are known; the transducer holds no more than twice those and the longest token.
 
-Decoding. ByteTextDecoder is fed ids one at a time, maps each to bytes and passes them through an
-incremental UTF-8 decoder, so a character split over ids comes out once it is complete.
+Decoding. ByteTextDecoder is a state machine fed with ids in portions of any size; it maps each to bytes and
+passes them through an incremental UTF-8 decoder, so a character split over ids comes out once it is complete.
 
-Each distinct short pre-token is encoded once per worker, by the same test of neighbours inside one
-window; a bounded table holds its ids. Longer pre-tokens stream every time. Decoding works on the ids
-of the whole text.
+A text is read in portions of bounded size that end before white space, where no pre-token continues. Each
+portion's pre-tokens go through the transducer (what a short one becomes is kept in a bounded table), its ids
+through the decoder, and both only feed digests, so besides the text itself memory doesn't grow with it. A
+run without white space is one portion.
 
 Defined cases: null and empty texts have no ids and decode to ''; repeated rows give repeated
 results; a null doc_id stays null; special strings inside a text count as the library's default has
@@ -28,8 +29,12 @@ import functools
 import hashlib
 import json
 import re
+import sys
 import unicodedata
-from collections.abc import Iterable
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,6 +42,8 @@ from pyspark.sql import DataFrame
 from .common import docs_text, map_texts
 from .pretokens import SPACES, WORD_SPLIT, BoundedCache, TextSplitter, byte_alphabet, to_byte_alphabet
 
+LITTLE = sys.byteorder == "little"
+
 
 class MergeList:
     """Vocabulary, merge ranks and what follows from them."""
@@ -69,9 +76,6 @@ class MergeList:
         if not self.proper:
             raise ValueError("a merge comes before the merges of its parts; streaming is not defined for such a list")
         self.longest = max(self.size, default=1)
-        #: Symbols after which a token is final at the latest: every merge can be put off by a chain of
-        #: at most all other merges, each reaching one longest token further.
-        self.lookahead = (len(merges) + 1) * self.longest
         # The pieces of a token that touch its right (left) edge, oldest first, each with the rank of the
         # merge that absorbs it; the token itself is never absorbed from within.
         self.right_edge: list[tuple | None] = [None] * top
@@ -90,6 +94,31 @@ class MergeList:
             if left in fine and right in fine and self.crossing(left, right) == left * top + right:
                 fine.add(token)
         self.usable = {t: i for t, i in self.ids.items() if i in fine}
+        self.lookahead = self._lookahead()
+
+    def _lookahead(self) -> int:
+        """Symbols after a token's end that settle whether any merge crosses it.
+
+        reach of merge r: symbols right of its edge that settle whether r's right part stands there in time.
+        The part's right-edge pieces can be taken before they are absorbed by merges with an earlier rank
+        that have such a piece on their left, and these reach on from the part's end.
+        """
+        best: dict[int, tuple[list[int], list[int]]] = {}  # left token -> ranks, most reach of these and earlier ones
+        most = 0
+        for pair, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
+            left, right = divmod(pair, self.top)
+            further = 0
+            for piece, until in self.right_edge[right]:
+                if piece in best:
+                    ranks, reach = best[piece]
+                    before = bisect_left(ranks, min(until, rank))
+                    further = max(further, reach[before - 1] if before else 0)
+            reach_here = self.size[right] + further
+            ranks, reach = best.setdefault(left, ([], []))
+            ranks.append(rank)
+            reach.append(max(reach_here, reach[-1] if reach else 0))
+            most = max(most, reach_here)
+        return most
 
     def symbols(self, token: str) -> int:
         return len(token) - len(self.suffix) if self.suffix and token.endswith(self.suffix) else len(token)
@@ -123,86 +152,45 @@ class Transducer:
 
     def __init__(self, merges: MergeList):
         self.merges = merges
-        self.check = 4 * merges.longest
+        self.check = 2 * (merges.lookahead + merges.longest)
+        self.peak = 0
         self._clear()
 
     def _clear(self) -> None:
-        self.held = ""  # the newest symbol, until it is known whether it ends the word
-        self.text = ""  # symbols since the last emitted token
-        self.last: list[int] = []  # correct last token of each prefix of text, -1 where no path may start
-        self.peak = 0
+        self.text, self.left = "", -1  # symbols after the last emitted token, and that token
 
-    def _push(self, symbol: str, end: bool) -> None:
-        m, last = self.merges, self.last
-        self.text = text = self.text + symbol
-        n, usable, crossing = len(text), m.usable, m.crossing
-        tail = m.suffix if end else ""
-        for start in range(max(0, n - m.longest), n):
-            token = usable.get(text[start:] + tail)
-            if token is not None:
-                if not start:
-                    last.append(token)
-                    return
-                before = last[start - 1]
-                if before >= 0 and crossing(before, token) < 0:
-                    last.append(token)
-                    return
-        raise ValueError(f"no token ends with {symbol!r}")
-
-    def _final(self) -> int:
-        """Length of the prefix that every path through the newest prefixes shares."""
-        size, last = self.merges.size, self.last
-        n = len(last)
-        reach = {*range(max(0, n - self.merges.longest + 1), n + 1)}
-        while len(reach) > 1:
-            top = max(reach)
-            reach.remove(top)
-            if last[top - 1] >= 0:
-                reach.add(top - size[last[top - 1]])
-        return reach.pop()
-
-    def _path(self, n: int) -> list[int]:
-        out = []
-        while n:
-            token = self.last[n - 1]
-            out.append(token)
-            n -= self.merges.size[token]
-        return out[::-1]
-
-    def feed(self, symbols: Iterable[str]) -> list[int]:
+    def feed(self, symbols: str) -> list[int]:
         out: list[int] = []
-        for symbol in symbols:
-            if self.held:
-                self._push(self.held, end=False)
-                if len(self.last) >= self.check and len(self.last) % self.merges.longest == 0:
-                    out += self._settle()
-            self.held = symbol
-        self.peak = max(self.peak, len(self.last))
+        step = self.check
+        for at in range(0, len(symbols), step) if len(symbols) > step else (0,):
+            self.text += symbols[at : at + step]
+            if len(self.text) > step:
+                out += self._settle()
         return out
 
     def _settle(self) -> list[int]:
-        """Emit what is final; the newest final token is kept as the left neighbour of what follows."""
-        self.peak = max(self.peak, len(self.last))
-        done = self._final()
-        tokens = self._path(done)
-        if len(tokens) < 2:
-            return []
-        keep = self.merges.size[tokens[-1]]
-        cut = done - keep
-        self.text = self.text[cut:]
-        self.last = [-1] * (keep - 1) + [tokens[-1]] + self.last[done:]
-        return tokens[:-1]
-
-    def window(self, text: str) -> list[int]:
-        """A whole pre-token that is not longer than the window: the one path whose neighbours all fit.
+        """Emit what is final. The newest symbol may still be the word's last, which has an id of its own."""
+        m, n = self.merges, len(self.text) - 1
+        self.peak = max(self.peak, n + 1)
+        path, at, done = self._path(n, ""), 0, 0
+        for done, token in enumerate(path):
+            if at + m.size[token] > n - m.lookahead:
+                break
+            at += m.size[token]
+        if done:
+            self.text, self.left = self.text[at:], path[done - 1]
+        return path[:done]
+
+    def _path(self, n: int, suffix: str) -> list[int]:
+        """The one path of tokens over the first n symbols held whose neighbours all fit, the token before them included.
 
         Takes the longest token that fits its left neighbour and goes back from where none does. The path
         to a length is unique, so a length that has failed once has failed for good.
         """
-        m, n, path, at, most, failed = self.merges, len(text), [], 0, len(text), set()
+        m, text, path, at, most, failed = self.merges, self.text, [], 0, n, set()
         usable, crossing, longest = m.usable, m.crossing, m.longest
-        whole = text + m.suffix
-        left = -1
+        whole = text[:n] + suffix
+        first = left = self.left
         while at < n:
             size = min(most, longest, n - at)
             while size:
@@ -217,19 +205,14 @@ class Transducer:
             elif path:
                 failed.add(at)
                 size = m.size[path.pop()]
-                at, most, left = at - size, size - 1, path[-1] if path else -1
+                at, most, left = at - size, size - 1, path[-1] if path else first
             else:
                 raise ValueError(f"no tokens for {text!r}")
         return path
 
     def finish(self) -> list[int]:
-        out: list[int] = []
-        if self.held:
-            self._push(self.held, end=True)
-            out = self._path(len(self.last))
-        peak = self.peak
+        out = self._path(len(self.text), self.merges.suffix)
         self._clear()
-        self.peak = peak
         return out
 
 
@@ -269,9 +252,10 @@ class WordEncoder:
         self.tokens = {i: t for t, i in self.merges.ids.items()} | {i: t for t, i in self.merges.special.items()}
         self.splitter = TextSplitter(WORD_SPLIT)
         self._spaces = re.compile(f"[{SPACES}]+")
+        self._cut = re.compile("[ \n]")  # no character composes with these, and every pre-token ends there
         self._special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
         self.transducer = Transducer(self.merges)
-        self.packed = BoundedCache(self._encode_word, 400_000)
+        self.packed = BoundedCache(self._encode_word)
         self.decoder = ByteTextDecoder(self.tokens)
         self._library = None
 
@@ -284,17 +268,23 @@ class WordEncoder:
         return self._library
 
     def word_ids(self, word: str) -> list[int]:
-        symbols = to_byte_alphabet(word)
-        if len(symbols) <= self.transducer.check:  # the word ends inside the window, nothing is emitted before
-            return self.transducer.window(symbols)
-        return self.transducer.feed(symbols) + self.transducer.finish()
-
-    def decoded(self, ids: list[int], step: int = 1 << 16) -> str:
-        parts = [self.decoder.feed(ids[at : at + step]) for at in range(0, len(ids), step)]
-        return "".join([*parts, self.decoder.finish()])
+        emitted = self.transducer.feed(to_byte_alphabet(word))
+        return emitted + self.transducer.finish()
 
     def _encode_word(self, word: str) -> bytes:
-        return np.array(self.word_ids(word), "<u4").tobytes()
+        return array("I", self.word_ids(word)).tobytes() if LITTLE else np.array(self.word_ids(word), "<u4").tobytes()
+
+    def portions(self, text: str, size: int = 1 << 16) -> Iterator[str]:
+        """The text in portions of about size, the later ones starting at white space."""
+        at = 0
+        while len(text) - at > size:
+            cut = self._cut.search(text, at + size)
+            if cut is None:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
+        if at < len(text):
+            yield text[at:] if at else text
 
     def words(self, text: str) -> list[str]:
         if not self.splitter.known(text):
@@ -306,18 +296,18 @@ class WordEncoder:
         norm = self._spaces.sub(" ", norm).replace("Σ", "σ").lower()
         return self.splitter.findall(norm)
 
-    def encode(self, text: str) -> bytes:
-        """The whole text's ids, packed as little-endian unsigned 32-bit integers."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The text's ids in portions, packed as little-endian unsigned 32-bit integers."""
         get = self.packed.__getitem__
-        if self._special is None or not any(s in text for s in self.merges.special):
-            return b"".join(map(get, self.words(text)))
-        out = []
-        for part in self._special.split(text):
+        parts = [text]
+        if self._special is not None and any(s in text for s in self.merges.special):
+            parts = self._special.split(text)
+        for part in parts:
             if part in self.merges.special:
-                out.append(int(self.merges.special[part]).to_bytes(4, "little"))
+                yield int(self.merges.special[part]).to_bytes(4, "little")
             else:
-                out += map(get, self.words(part))
-        return b"".join(out)
+                for portion in self.portions(part):
+                    yield b"".join(map(get, self.words(portion)))
 
 
 @functools.cache
@@ -330,17 +320,29 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False)
 
     def rows(doc_ids: list, texts: list[str]) -> dict:
         encoder = word_encoder(tokenizer_path)
+        decoder = encoder.decoder
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for text in texts:
-            packed = encoder.encode(text)
-            ids = np.frombuffer(packed, "<u4")
-            decoded = encoder.decoded(ids.tolist())
-            out["n_tokens"].append(len(packed) // 4)
-            out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            n, ids_sha, text_sha, kept, read = 0, hashlib.sha256(), hashlib.sha256(), [], []
+            for packed in chain(encoder.encode(text), (None,)):
+                if packed is None:
+                    decoded = decoder.finish()
+                else:
+                    ids_sha.update(packed)
+                    ids = np.frombuffer(packed, "<u4")
+                    n += len(ids)
+                    decoded = decoder.feed(ids.tolist())
+                    if with_ids:
+                        kept.append(ids.astype("i8"))
+                text_sha.update(decoded.encode())
+                if with_ids:
+                    read.append(decoded)
+            out["n_tokens"].append(n)
+            out["ids_sha256"].append(ids_sha.hexdigest())
+            out["decoded_sha256"].append(text_sha.hexdigest())
             if with_ids:
-                out["ids"].append(ids.astype("i8"))
-                out["decoded"].append(decoded)
+                out["ids"].append(np.concatenate([np.zeros(0, "i8"), *kept]))
+                out["decoded"].append("".join(read))
         return {"doc_id": doc_ids} | out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -1,6 +1,8 @@
 """The ten operators against brute force, round trips and held-out accuracy, with their edge cases."""
 
 import hashlib
+import itertools
+import json
 import re
 import struct
 import zlib
@@ -57,10 +59,55 @@ def test_bpe(odd, docs, none):
 
 def test_bpe_streams_in_bounded_memory():
     encoder = bpe.word_encoder(registry.tokenizer("word_bpe_49k.json"))
-    lib = library("word_bpe_49k.json")
-    word = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(20_000))
-    assert encoder.word_ids(word) == lib.encode(word, add_special_tokens=False).ids
-    assert encoder.transducer.peak < 600 <= encoder.merges.lookahead
+    lib, merges = library("word_bpe_49k.json"), encoder.merges
+    for word in ("".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(40_000)), "a" * 9_999, "ab" * 5_000 + "b" * 3_001, "the" * 7_000):
+        encoder.transducer.peak = 0
+        assert encoder.word_ids(word) == lib.encode(word, add_special_tokens=False).ids
+        assert 0 < encoder.transducer.peak <= 2 * encoder.transducer.check < len(word)
+    emitted = encoder.transducer.feed("the" * 7_000)
+    held = len(encoder.transducer.text)
+    assert emitted and held <= encoder.transducer.check
+    encoder.transducer.finish()
+    text = "some words of a text, " * 20_000
+    assert max(map(len, encoder.portions(text))) < 70_000 and "".join(encoder.portions(text)) == text
+
+
+def merge_all(word, merges):
+    """Plain byte-pair encoding: the first merge of the list that applies, leftmost first, until none does."""
+    tokens = list(word)
+    while found := min(((merges.index((a, b)), i) for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if (a, b) in merges), default=None):
+        at = found[1]
+        tokens[at : at + 2] = [tokens[at] + tokens[at + 1]]
+    return tokens
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lookahead_suffices(tmp_path, seed):
+    """A token with lookahead symbols after it stays, whatever follows; on every word of a small merge list."""
+    rng, tokens, merges = np.random.default_rng(seed), ["a", "b"], []
+    while len(merges) < 6:
+        pair = tuple(rng.choice([t for t in tokens if len(t) < 4], 2).tolist())
+        if pair not in merges and "".join(pair) not in tokens:
+            merges.append(pair)
+            tokens.append("".join(pair))
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(m) for m in merges]}}))
+    merge_list = bpe.MergeList(str(path))
+    n, look = 12, merge_list.lookahead
+    paths = {"".join(w): merge_all("".join(w), merges) for size in range(1, n + 1) for w in itertools.product("ab", repeat=size)}
+    for word, path_ in paths.items():
+        if len(word) < n:
+            continue
+        for cut in range(look + 1, n):
+            at = 0
+            for i, token in enumerate(paths[word[:cut]]):
+                at += len(token)
+                if at + look > cut:
+                    break
+                assert path_[i] == token, (merges, word, cut)
+    transducer = bpe.Transducer(merge_list)
+    for word in ["".join(rng.choice(["a", "b"], 400).tolist()) for _ in range(4)]:
+        assert [tokens[i] for i in transducer.feed(word) + transducer.finish()] == merge_all(word, merges)
 
 
 def test_incremental_decoder():
