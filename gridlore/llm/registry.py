@@ -19,6 +19,25 @@ URL_RULES = (
 )
 
 
+#: The domains of the mixing queries: which sources belong to which; others are "other".
+DOMAINS = {
+    "web": [f"src{k}" for k in range(10)],
+    "books": [f"src{k}" for k in range(10, 15)],
+    "reference": [f"src{k}" for k in range(15, 18)],
+    "forum": [f"src{k}" for k in range(18, 20)],
+}
+#: Target weights of domains and of languages in each of them; sources weigh their tokens to the power 0.8.
+DOMAIN_WEIGHTS = {"web": 0.45, "books": 0.25, "reference": 0.2, "forum": 0.08, "other": 0.02}
+LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+#: By path in the tree.
+TARGET_WEIGHTS = {(d,): w for d, w in DOMAIN_WEIGHTS.items()} | {(d, k): w for d in DOMAIN_WEIGHTS for k, w in LANGUAGE_WEIGHTS.items()}
+
+
+def mixture() -> dict:
+    """Options of the production mix: one and a half times the corpus's tokens, no document more than four times."""
+    return {"levels": mixing.grouped_sources(DOMAINS), "corpus_epochs": 1.5, "max_epochs": 4, "weights": TARGET_WEIGHTS}
+
+
 def tokenizer(name: str) -> str:
     """Where a public vocabulary lies; the files are never part of this repository."""
     import public_tokenizers
@@ -32,7 +51,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents"), **mixture())
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
