@@ -1,12 +1,13 @@
 """Media columns: telephony audio in WAV containers.
 
 mu-law and A-law samples are expanded through 256-entry tables, IMA ADPCM blocks are decoded with
-numpy across all blocks of a file at once (a loop over the position inside a block only), and the
-result is resampled and stored as 16-bit PCM. store_payload() keeps any bytes losslessly as mu-law
-samples; probe() reads the stored bytes back.
+numpy across all blocks of a slice of rows at once (a loop over the position inside a block only), channels are
+averaged, and the result is resampled and stored as 16-bit PCM. store_payload() keeps any bytes losslessly as mu-law
+samples; media_columns() reads the stored bytes back, decodes them by all three rules, and keeps the PCM.
 
 Defined cases: null and empty texts are a payload of 64 zero bytes; a payload is padded to a positive
-multiple of 64; equal texts give equal values; a null doc_id stays; repeated rows repeat.
+multiple of 64; equal texts give equal values; a null doc_id stays; repeated rows repeat; files that can't be
+read (no samples, rate or channels of 0, blocks without room for their heads, other formats) decode to null.
 """
 
 from __future__ import annotations
@@ -51,31 +52,67 @@ def alaw_table() -> np.ndarray:
     return np.where(code & 0x80, size, -size).astype("<i2")
 
 
-def decode_adpcm(data: bytes, block_bytes: int) -> np.ndarray:
-    """Mono IMA ADPCM blocks (4-byte heads); of a short last block the bytes that are there, if its head is whole."""
-    n = len(data) // block_bytes
-    short = data[n * block_bytes :]
-    blocks = np.frombuffer(data[: n * block_bytes], "u1").reshape(n, block_bytes)
-    value = blocks[:, :2].copy().view("<i2").ravel().astype(np.int64)
+def _adpcm_blocks(blocks: np.ndarray) -> np.ndarray:
+    """Samples of mono blocks (rows of bytes), a row each: the head's and two for each further byte."""
+    value = blocks[:, :2].copy().view("<i2").ravel().astype(np.int32)
     index = np.clip(blocks[:, 2].astype(np.int64), 0, 88)
     body = blocks[:, 4:]
-    codes = np.stack([body & 15, body >> 4], axis=2).reshape(n, 2 * body.shape[1])
-    out = np.empty((n, codes.shape[1] + 1), "<i2")
+    codes = np.stack([body & 15, body >> 4], axis=2).reshape(len(blocks), -1).astype(np.int64)
+    out = np.empty((len(blocks), codes.shape[1] + 1), "<i2")
     out[:, 0] = value
     for i in range(codes.shape[1]):
-        code = codes[:, i].astype(np.int64)
-        step = STEP_SIZES[index]
-        size = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
-        value = np.clip(np.where(code & 8, value - size, value + size), -32768, 32767)
+        code = codes[:, i]
+        value = np.clip(value + adpcm_changes()[index, code], -32768, 32767)
         index = np.clip(index + INDEX_STEPS[code & 7], 0, 88)
         out[:, i + 1] = value
-    return np.concatenate([out.ravel(), decode_adpcm(short, len(short))]) if len(short) >= 4 else out.ravel()
+    return out
+
+
+@functools.cache
+def adpcm_changes() -> np.ndarray:
+    """Change of the value by step index and code, by the rule of shifted step sizes."""
+    step, code = STEP_SIZES[:, None], np.arange(16)
+    size = (step >> 3) + (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
+    return np.where(code & 8, -size, size).astype(np.int32)
+
 
+def decode_adpcm(data: bytes, block_bytes: int, channels: int = 1) -> np.ndarray:
+    """IMA ADPCM blocks: a 4-byte head for each channel, then words of 4 bytes by turns; channels are averaged.
 
-def wav(data: bytes, tag: int, rate: int = 8000, bits: int = 8, block: int | None = None) -> bytes:
-    block = block or bits // 8
-    per = (block - 4) * 2 + 1 if tag == IMA_ADPCM else 1
-    head = struct.pack("<HHIIHH", tag, 1, rate, rate * block // per, block, bits)
+    Of a short last block the bytes that are there count, if its heads are whole.
+    """
+    if channels < 1 or block_bytes < 4 * channels:
+        raise ValueError("no room for the heads of a block")
+    n = len(data) // block_bytes
+    parts = [np.frombuffer(data, "u1", n * block_bytes).reshape(n, block_bytes)] if n else []
+    short = np.frombuffer(data, "u1", offset=n * block_bytes)
+    if len(short) >= 4 * channels:
+        parts.append(short[None])
+    out = [np.zeros(0, "<i2")]
+    for blocks in parts:
+        if channels > 1:
+            words = (blocks.shape[1] - 4 * channels) // (4 * channels)
+            heads, body = blocks[:, : 4 * channels].reshape(-1, channels, 4), blocks[:, 4 * channels : 4 * channels * (words + 1)]
+            body = body.reshape(-1, words, channels, 4).transpose(0, 2, 1, 3).reshape(-1, channels, 4 * words)
+            each = _adpcm_blocks(np.concatenate([heads, body], axis=2).reshape(len(blocks) * channels, -1))
+            out.append(mono(each.reshape(len(blocks), channels, -1).transpose(0, 2, 1).ravel(), channels))
+        else:
+            out.append(_adpcm_blocks(blocks).ravel())
+    return np.concatenate(out)
+
+
+def mono(samples: np.ndarray, channels: int) -> np.ndarray:
+    """The mean of interleaved channels, rounded down; an incomplete last moment goes."""
+    if channels == 1:
+        return samples.astype("<i2")
+    whole = samples[: len(samples) // channels * channels].reshape(-1, channels).astype(np.int64)
+    return (whole.sum(axis=1) // channels).astype("<i2")
+
+
+def wav(data: bytes, tag: int, rate: int = 8000, bits: int = 8, block: int | None = None, channels: int = 1) -> bytes:
+    block = block or bits // 8 * channels
+    per = (block // channels - 4) * 2 + 1 if tag == IMA_ADPCM else 1
+    head = struct.pack("<HHIIHH", tag, channels, rate, rate * block // per, block, bits)
     if tag == IMA_ADPCM:
         head += struct.pack("<HH", 2, per)
     elif tag != PCM:
@@ -86,15 +123,15 @@ def wav(data: bytes, tag: int, rate: int = 8000, bits: int = 8, block: int | Non
 
 
 def read_wav(media: bytes) -> dict:
-    """tag, rate, bits, block and the bytes of the data chunk; raises ValueError on other files."""
+    """tag, rate, bits, block, channels and the bytes of the data chunk; raises ValueError on other files."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, out = 12, {}
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            tag, _, rate, _, block, bits = struct.unpack_from("<HHIIHH", media, at + 8)
-            out |= {"tag": tag, "rate": rate, "bits": bits, "block": block}
+            tag, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            out |= {"tag": tag, "rate": rate, "bits": bits, "block": block, "channels": channels}
         elif name == b"data":
             out["data"] = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
@@ -106,14 +143,19 @@ def read_wav(media: bytes) -> dict:
 def samples(media: bytes) -> tuple[np.ndarray, int]:
     """16-bit PCM and its rate, from any of the four formats."""
     w = read_wav(media)
-    if w["tag"] == IMA_ADPCM:
-        return decode_adpcm(w["data"], w["block"]), w["rate"]
-    if w["tag"] == PCM:
-        return np.frombuffer(w["data"][: len(w["data"]) // 2 * 2], "<i2"), w["rate"]
-    table = {MULAW: mulaw_table, ALAW: alaw_table}.get(w["tag"])
-    if table is None:
-        raise ValueError(f"format {w['tag']}")
-    return table()[np.frombuffer(w["data"], "u1")], w["rate"]
+    tag, rate, channels = w["tag"], w["rate"], w["channels"]
+    if not rate or not channels:
+        raise ValueError("no rate or no channels")
+    if tag == IMA_ADPCM:
+        return decode_adpcm(w["data"], w["block"], channels), rate
+    if tag == PCM and w["bits"] == 16:
+        return mono(np.frombuffer(w["data"][: len(w["data"]) // 2 * 2], "<i2"), channels), rate
+    if tag == PCM and w["bits"] == 8:  # unsigned
+        return mono((np.frombuffer(w["data"], "u1").astype(np.int16) - 128) << 8, channels), rate
+    table = {MULAW: mulaw_table, ALAW: alaw_table}.get(tag)
+    if table is None or w["bits"] != 8:
+        raise ValueError(f"format {tag} of {w['bits']} bits")
+    return mono(table()[np.frombuffer(w["data"], "u1")], channels), rate
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -143,38 +185,50 @@ def store_payload(text: str) -> tuple[int, bytes]:
     return len(raw), wav(raw + b"\0" * (-len(raw) % 64 or 64 * (not raw)), MULAW)
 
 
-def probe(media: bytes, to: int = 16_000) -> dict:
-    """What is read back from a stored file: its payload and integer features of the decoded audio."""
-    payload = read_wav(media)["data"]
-    pcm, rate = samples(media)
+def describe(pcm: np.ndarray) -> str:
+    """Integer features of decoded audio: samples, peak, mean energy, changes of sign."""
     wide = pcm.astype(np.int64)
-    crossings = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-    energy = int((wide * wide).sum()) // len(wide)
-    stored = resample(pcm, rate, to)
-    feature = f"n={len(pcm)};peak={int(np.abs(wide).max())};energy={energy};crossings={crossings};pcm{to}={zlib.crc32(stored.tobytes()):08x}"
-    return {"payload": payload, "feature": feature, "pcm": stored}
+    crossings = np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0))
+    return f"n={len(pcm)},peak={np.abs(wide).max()},energy={(wide * wide).sum() // len(wide)},crossings={crossings}"
+
+
+#: Bytes of an ADPCM block in payloads, which are multiples of it.
+UNIT = 64
+
 
+def media_columns(docs: DataFrame, with_media: bool = False, to: int = 16_000) -> DataFrame:
+    """Digests and features of every text's stored file; the file and its resampled PCM file if asked for.
 
-def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
-    """Digests of the stored files of every text; the files and resampled PCM themselves if asked for."""
+    The payload that is read back is decoded as mu-law, which is what the file says, and as A-law and
+    ADPCM blocks; feature names all three. pcm is the mu-law audio at the target rate.
+    """
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"]
 
     def rows(ids: list, texts: list[str]) -> dict:
-        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm")
-        out: dict[str, list] = {k: [] for k in names}
-        for text in texts:
-            n, media = store_payload(text)
-            found = probe(media)
-            payload = found["payload"]
+        out: dict[str, list] = {k: [] for k in [*names, "media", "pcm"]}
+        files = [store_payload(t) for t in texts]
+        payloads = [read_wav(media)["data"] for _, media in files]
+        blocks = decode_adpcm(b"".join(payloads), UNIT).reshape(-1, 2 * UNIT - 7)  # of all rows at once
+        at = 0
+        for (n, media), payload in zip(files, payloads, strict=True):
+            pcm, rate = samples(media)
+            alaw = alaw_table()[np.frombuffer(payload, "u1")]
+            adpcm = blocks[at : at + len(payload) // UNIT].ravel()
+            at += len(payload) // UNIT
+            stored = wav(resample(pcm, rate, to).tobytes(), PCM, to, 16)
             values = (
-                n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media),
-                hashlib.sha256(media).hexdigest(), found["feature"],
+                n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(),
+                f"mulaw:{describe(pcm)};alaw:{describe(alaw)};adpcm:{describe(adpcm)}", len(stored), hashlib.sha256(stored).hexdigest(),
             )
-            for k, v in zip(names, values, strict=False):
+            for k, v in zip(names, values, strict=True):
                 out[k].append(v)
             if with_media:
                 out["media"].append(media)
-                out["pcm"].append(wav(found["pcm"].tobytes(), PCM, 16_000, 16))
+                out["pcm"].append(stored)
         return {"doc_id": ids} | out
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = (
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+        "feature string, pcm_bytes long, pcm_sha256 string"
+    )
     return map_texts(docs_text(docs), schema + ", media binary, pcm binary" * with_media, rows, 64)

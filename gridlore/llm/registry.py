@@ -67,7 +67,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read_table(spark, sf_dir, "documents"))
+    return media.media_columns(read_table(spark, sf_dir, "documents"), with_media=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,16 +374,84 @@ def test_adpcm_keeps_a_short_last_block(n):
         assert media.samples(media.wav(data, media.IMA_ADPCM, bits=4, block=256))[0].tolist() == want
 
 
+def plain_mulaw(code):
+    """A sample of G.711 mu-law by its segments, without a table."""
+    code = 255 - code
+    sign, segment, step = code >> 7, code >> 4 & 7, code & 15
+    size = (2 * step + 33) * 2**segment - 33
+    return -4 * size if sign else 4 * size
+
+
+def plain_alaw(code):
+    code ^= 0x55
+    sign, segment, step = code >> 7, code >> 4 & 7, code & 15
+    size = (2 * step + 1) if segment == 0 else (2 * step + 33) * 2 ** (segment - 1)
+    return 8 * size if sign else -8 * size
+
+
+def plain_feature(pcm):
+    energy = sum(v * v for v in pcm) // len(pcm)
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+    return f"n={len(pcm)},peak={max(map(abs, pcm))},energy={energy},crossings={crossings}"
+
+
+def plain_wav(tag, rate, bits, block, rate_bytes, data, extra):
+    head = struct.pack("<HHIIHH", tag, 1, rate, rate_bytes, block, bits) + extra
+    chunks = b"WAVEfmt " + len(head).to_bytes(4, "little") + head + b"data" + len(data).to_bytes(4, "little") + data
+    return b"RIFF" + len(chunks).to_bytes(4, "little") + chunks
+
+
 def test_media_columns(odd, none):
-    texts = {r.doc_id: r.text or "" for r in odd.where("doc_id is not null").collect()}
-    for r in media.media_columns(odd, with_media=True).where("doc_id is not null").collect():
-        raw = texts[r.doc_id].encode()
-        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(r.media), hashlib.sha256(r.media).hexdigest())
+    texts = defaultdict(set)
+    for r in odd.collect():
+        texts[r.doc_id].add(r.text or "")
+    got = media.media_columns(odd, with_media=True).collect()
+    assert len(got) == odd.count()
+    for r in got:
+        payload = plain = None
+        for text in texts[r.doc_id]:  # an id may have several texts
+            raw = text.encode()
+            plain = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+            if hashlib.sha256(plain).hexdigest() == r.payload_sha256:
+                payload = plain
+                assert r.n_bytes == len(raw)
+        assert payload is not None
+        stored = plain_wav(7, 8000, 8, 1, 8000, payload, b"\0\0")
+        assert r.media == stored and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.payload_bytes, r.tail_crc32) == (len(payload), zlib.crc32(payload[-64:]))
+        mulaw = [plain_mulaw(b) for b in payload]
+        kinds = {"mulaw": mulaw, "alaw": [plain_alaw(b) for b in payload], "adpcm": brute_adpcm(payload, 64)}
+        assert r.feature == ";".join(f"{k}:{plain_feature(v)}" for k, v in kinds.items())
+        pcm = []
+        for a, b in zip(mulaw, [*mulaw[1:], mulaw[-1]], strict=True):  # 8 to 16 kHz: each sample and the middle to the next
+            pcm += [a, (a + b + 1) // 2]
+        want = plain_wav(1, 16_000, 16, 2, 32_000, struct.pack(f"<{len(pcm)}h", *pcm), b"")
+        assert r.pcm == want and (r.pcm_bytes, r.pcm_sha256) == (len(want), hashlib.sha256(want).hexdigest())
     assert media.media_columns(none).count() == 0
 
 
+def test_files_that_cannot_be_read_are_null():
+    data = bytes(range(200))
+    for bad in (
+        media.wav(data, media.IMA_ADPCM, bits=4, block=256).replace(struct.pack("<HH", 256, 4), struct.pack("<HH", 0, 4)),
+        media.wav(data, media.IMA_ADPCM, bits=4, block=256).replace(struct.pack("<HH", 256, 4), struct.pack("<HH", 2, 4)),
+        media.wav(data, media.MULAW, rate=0), media.wav(data, media.PCM, bits=24), media.wav(data, 85), media.wav(data, media.MULAW)[:30], b"RIFF1234WAVE",
+    ):
+        assert media.decode_media(bad) is None
+
+
+def test_channels_and_eight_bits():
+    left, right = [100, -200, 32767, -32768], [300, -100, 32767, 32767]
+    both = struct.pack("<8h", *[v for pair in zip(left, right, strict=True) for v in pair])
+    assert media.samples(media.wav(both, media.PCM, bits=16, channels=2))[0].tolist() == [(a + b) // 2 for a, b in zip(left, right, strict=True)]
+    assert media.samples(media.wav(bytes([0, 128, 255]), media.PCM, bits=8))[0].tolist() == [-32768, 0, 127 << 8]
+    assert media.samples(media.wav(bytes([0x80, 0x00, 0xFF, 0xFF]), media.MULAW, channels=2))[0].tolist() == [0, 0]
+    blocks = [bytes((i * 73 + c * 11) % 256 for i in range(32)) for c in range(2)]
+    words = b"".join(blocks[c][4 + 4 * i : 8 + 4 * i] for i in range(7) for c in range(2))
+    mixed = [(a + b) // 2 for a, b in zip(*[brute_adpcm(b, 32) for b in blocks], strict=True)]
+    assert media.samples(media.wav(blocks[0][:4] + blocks[1][:4] + words, media.IMA_ADPCM, bits=4, block=64, channels=2))[0].tolist() == mixed
+
+
 def brute_rule(url, rules):
     if url is None or "://" not in url:
         return "", "", None
