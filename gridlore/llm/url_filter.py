@@ -40,16 +40,17 @@ class Rule:
 
 def prefix_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits the host and its subdomains where the URL's path starts with path."""
+    host = host.lower()  # hosts of URLs are lower-cased, paths aren't; tokens of both are
     pattern = rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}"
     # Only tokens that are whole in every URL that fits can be keys: those of the host, and those of the
     # path that something else follows.
-    whole = _TOKEN.findall(host) + _TOKEN.findall(re.sub(r"[a-z0-9]+$", "", path))
+    whole = _TOKEN.findall(host) + _TOKEN.findall(re.sub(r"[a-z0-9]+$", "", path.lower()))
     return Rule(f"{host}{path}", verdict, pattern, tuple(dict.fromkeys(whole)))
 
 
 def pattern_rule(name: str, verdict: str, pattern: str, tokens: Sequence[str]) -> Rule:
     """A pattern of the method's own; each of tokens is in every URL that fits."""
-    return Rule(name, verdict, pattern, tuple(tokens), fixed=False)
+    return Rule(name, verdict, pattern, tuple(t.lower() for t in tokens), fixed=False)
 
 
 #: Host names of link farms that the method blocks by itself where no prefix rule speaks.
@@ -62,9 +63,9 @@ METHOD_RULES = (
 
 
 def rarest_token(rules: Sequence[Rule]) -> list[str]:
-    """Each rule's key: of its tokens the one that the fewest rules use, ties by text."""
+    """Each rule's key: of its tokens the one that the fewest rules use, ties by text; '' for a rule without tokens."""
     use = Counter(t for r in rules for t in set(r.tokens))
-    return [min(r.tokens, key=lambda t: (use[t], t)) for r in rules]
+    return [min(r.tokens, key=lambda t: (use[t], t), default="") for r in rules]
 
 
 def index(rules: Sequence[Rule], buckets: int) -> list[list[dict]]:
@@ -100,6 +101,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], method_rules: Sequence[R
     parts = pages.select(F.col(id_column), F.col("url")).select(id_column, host.alias("host"), path.alias("path"))
     whole = F.concat("host", "path")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(r"([a-z0-9]+)"), 1))
+    if any(not r.tokens for r in listed):  # such rules are candidates of every URL
+        tokens = F.concat(tokens, F.array(F.lit("")))
     fetched = F.transform(
         tokens,
         lambda t: F.filter(F.get(table, F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")), lambda r: r["key"] == t),
