@@ -1,7 +1,7 @@
 """Exact dedup: 128-bit content hashes group documents, bytes are compared inside groups.
 
-1. Every row gets the md5 of its normalised text; counting rows per hash shuffles hashes only, with
-   partial sums on the map side, so one group with a third of all rows is a few numbers a task.
+1. Every row gets the md5 of its normalised text, and a table of rows without texts is written; counting rows
+   per hash has partial sums on the map side, so one group with a third of all rows is a few numbers a task.
 2. Rows of hashes that occur more than once have their texts compared: the smallest and largest
    normalised text of a hash are the same bytes, or the hash is a collision. Again both are partial
    aggregates, so no group meets in one place as rows.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, docs_text, join_groups, keep_rows, materialise, row_content
+from .common import BROADCAST_BYTES, docs_text, drop_materialised, join_groups, keep_rows, materialise, row_content
 
 #: The characters that do not count, \x20 and \x09 to \x0D.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -35,9 +35,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def colliding_hashes(keyed: DataFrame) -> DataFrame:
-    """Hashes under which different texts meet. keyed: norm, hash of every row."""
-    repeated = keyed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+def colliding_hashes(keyed: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Hashes under which different texts meet. keyed: norm, hash of every row; rows: a table with the same hashes."""
+    repeated = (keyed if rows is None else rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     repeated = materialise(repeated, "repeated-hashes")
     if repeated.count() * 64 <= BROADCAST_BYTES:
         repeated = F.broadcast(repeated)
@@ -54,18 +54,17 @@ def colliding_hashes(keyed: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, carried: Column, order: list[str]) -> DataFrame:
     """Each row's doc_id and carried column; for groups of several rows group_size and best, their row that stays."""
     keyed = _keyed(docs)
-    colliding = materialise(colliding_hashes(keyed), "colliding-hashes")
-    if colliding.isEmpty():
-        keyed = keyed.withColumn("bytes", F.lit(""))
-    else:
-        keyed = keyed.join(colliding.withColumn("odd", F.lit(True)), "hash", "left").withColumn(
-            "bytes", F.when(F.col("odd"), F.col("norm")).otherwise("")
-        )
-    rows = materialise(keyed.select("doc_id", "n_points", "hash", "bytes", carried), "hashed-rows")
-    # The largest (code points, -doc_id): a null id orders below every other.
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus"), *order))
+    rows = materialise(keyed.select("doc_id", "n_points", "hash", F.lit("").alias("bytes"), carried), "hashed-rows")
+    colliding = materialise(colliding_hashes(keyed, rows), "colliding-hashes")
+    if not colliding.isEmpty():
+        drop_materialised(rows)
+        odd = keyed.join(colliding.withColumn("odd", F.lit(True)), "hash", "left")
+        rows = odd.select("doc_id", "n_points", "hash", F.when(F.col("odd"), F.col("norm")).otherwise("").alias("bytes"), carried)
+        rows = materialise(rows, "hashed-rows")
+    # The largest (code points, complement of doc_id, which falls as it rises): a null id orders below every other.
+    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("minus"), *order))
     groups = rows.groupBy("hash", "bytes").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("hash", "bytes", (-F.col("best.minus")).alias("keep_id"), *[F.col(f"best.{c}").alias(f"keep_{c}") for c in order], "group_size")
+    groups = groups.select("hash", "bytes", F.bitwise_not("best.minus").alias("keep_id"), *[F.col(f"best.{c}").alias(f"keep_{c}") for c in order], "group_size")
     shared = materialise(groups.where("group_size > 1"), "shared-groups")
     return join_groups(rows, shared, ["hash", "bytes"], "group_size")
 
