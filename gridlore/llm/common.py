@@ -92,6 +92,12 @@ def labelled_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of the texts of a repeated id the one with the smallest hash, then the smallest. Null is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(text), text)).alias("one")).select("doc_id", F.col("one.col2").alias("text"))
+
+
 def map_texts(
     df: DataFrame, schema: str, rows: Callable[[list, list], dict[str, pa.Array | list]], slice_rows: int = 512
 ) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, is_held_out, labelled_sample, map_texts
+from .common import docs_text, is_held_out, labelled_sample, map_texts, one_text
 
 _WORD = re.compile(r"[^\s]+")
 _VOWELS = frozenset("aeiouyäöüéèêàáíóúñ")
@@ -98,11 +98,12 @@ class QualityModel:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; knots at the mean x of each pool, strictly rising."""
-    order = np.lexsort((y, x))
+    """Pool equal x, then adjacent violators; knots at the mean x of each pool, both strictly rising."""
+    at, place, n = np.unique(x, return_inverse=True, return_counts=True)
+    total = np.bincount(place, y, len(at))
     pools: list[list[float]] = []  # sum y, count, sum x
-    for a, b in zip(x[order], y[order], strict=True):
-        pools.append([float(b), 1.0, float(a)])
+    for b, k, a in zip(total, n, at, strict=True):
+        pools.append([float(b), float(k), float(a * k)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
@@ -120,7 +121,7 @@ def fit(
     def rows(ids: list, texts: list[str]) -> dict:
         return {"doc_id": ids, "stats": [statistics(t) for t in texts]}
 
-    known = docs_text(docs).join(sample.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = one_text(docs_text(docs).join(sample.select("doc_id"), "doc_id", "left_semi"))
     stats = map_texts(known, "doc_id long, stats array<double>", rows).join(sample, "doc_id")
     # At most `parts` partitions of a bounded number of short vectors, whatever the input's size.
     stats = stats.repartition(parts, "doc_id").sortWithinPartitions("doc_id").persist()
