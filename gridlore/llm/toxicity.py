@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, is_held_out, labelled_sample, map_texts
+from .common import docs_text, drop_materialised, is_held_out, labelled_sample, map_texts, materialise, one_text
 from .quality import isotonic
 
 _WORDS = re.compile(rb"[^\s]+")
@@ -173,11 +173,24 @@ def fit_texts(ids: list[int], texts: list[str], y: np.ndarray, window: int = 512
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_rows: int = 6_000, **options) -> ToxicModel:
-    """Fit on at most max_train_rows labelled rows (a documented bound), held in the driver's memory."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train_rows: int = 6_000, max_train_bytes: int = 64 << 20, **options) -> ToxicModel:
+    """Fit on at most max_train_rows labelled rows, held in the driver's memory.
+
+    Both bounds are of the training sample only. Where its texts together exceed max_train_bytes, whole rows go
+    from the end of the sample's hash order, so a text is used whole or not at all.
+    """
     sample = F.broadcast(labelled_sample(labels, label, max_train_rows))
-    known = docs_text(docs).join(sample, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    rows = sorted(known.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])  # the bounded sample
+    known = one_text(docs_text(docs).join(sample.select("doc_id"), "doc_id", "left_semi")).join(sample, "doc_id")
+    known = materialise(known, "training-texts")  # at most max_train_rows
+    used, size = [], 0
+    for r in known.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect():
+        size += r["n"]
+        if size > max_train_bytes:
+            break
+        used.append((r["doc_id"],))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(used, "doc_id long"))
+    rows = sorted(known.join(chosen, "doc_id").collect(), key=lambda r: r["doc_id"])  # bounded in rows and bytes
+    drop_materialised(known)
     return fit_texts([r["doc_id"] for r in rows], [r["text"] for r in rows], np.array([r["label"] for r in rows], int), **options)
 
 

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from gridlore.llm import bpe, common, components, exact_dedup, media, mixing, pretokens, quality, registry, simhash, token_counts, token_files, toxicity, url_filter
@@ -475,6 +476,14 @@ def test_url_filter(spark):
         assert r.verdict == (rule[2] if rule else "block" if own else "allow"), urls[r.page_id]
 
 
+def test_url_rules_with_capitals_and_without_tokens(spark):
+    rules = [url_filter.prefix_rule("Shop.Example", "/About/", "block"), url_filter.prefix_rule("", "/", "allow"), url_filter.prefix_rule("shop.example", "/About/Us", "allow")]
+    urls = {"http://SHOP.example/About/x": "shop.example/About/", "http://a.shop.example/about/": "/", "http://shop.example/About/Us": "shop.example/About/Us", "http://other": None}
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules).collect()
+    # A rule without a host fits hosts that end in a dot only, as every host is a subdomain of its own name.
+    assert [r.rule for r in sorted(got)] == ["shop.example/About/", None, "shop.example/About/Us", None]
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -511,6 +520,83 @@ def test_isotonic():
     assert y.tolist() == [0.0, 0.5, 1.0] and x.tolist() == [1.0, 2.5, 4.0]
 
 
+def test_isotonic_pools_ties():
+    x, y = quality.isotonic(np.array([1.0, 1, 1, 1, 2]), np.array([0.0, 0, 1, 1, 1]))
+    assert x.tolist() == [1.0, 2.0] and y.tolist() == [0.5, 1.0]
+    rng = np.random.default_rng(5)
+    for _ in range(50):  # against the minimax form of isotonic regression
+        at = rng.integers(0, 6, 30).astype(float)
+        v = rng.integers(0, 2, 30).astype(float)
+        x, y = quality.isotonic(at, v)
+        assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+        levels = np.unique(at)
+        means = {(a, b): v[(at >= a) & (at <= b)].mean() for a in levels for b in levels if a <= b}
+        want = {c: max(min(means[a, b] for b in levels if b >= c) for a in levels if a <= c) for c in levels}
+        pool = {c: y[np.searchsorted(np.unique(list(want.values())), want[c])] for c in levels}
+        assert all(abs(pool[c] - want[c]) < 1e-12 for c in levels)
+
+
+def test_fit_is_repeatable_with_repeated_ids(spark):
+    rows = [(i, f"word{i} good text {k}") for i in range(40) for k in range(3)] + [(i, None) for i in range(5)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = common.one_text(docs).collect()
+    assert len(one) == 40 and all(r.text is not None for r in one)
+    scores = [sorted(map(tuple, m.score(d, m.fit(d, labels)).collect())) for m in (quality, toxicity) for d in (docs.repartition(3, "text"), docs.repartition(7).orderBy(F.desc("text")))]
+    assert scores[0] == scores[1] and scores[2] == scores[3]
+    small = toxicity.fit(docs, labels, max_train_bytes=100)  # whole texts within the bound
+    assert len(small.ordinary) < len(toxicity.fit(docs, labels).ordinary)
+
+
+def test_ridge_against_a_plain_solution(spark):
+    """Statistics, features and normal equations in one process, without partitions."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels, n_fourier=24, ridge=0.3)
+    texts, known = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    ids = sorted(i for i in known if i in texts and zlib.crc32(str(i).encode()) % 4 != 2 and known[i] is not None)
+    stats = np.array([quality.statistics(texts[i]) for i in ids])
+    assert np.allclose(model.centre, stats.mean(axis=0)) and np.allclose(model.scale, np.maximum(stats.std(axis=0), 1e-6))
+    x = np.clip((stats - stats.mean(axis=0)) / np.maximum(stats.std(axis=0), 1e-6), -6, 6)
+    z = np.hstack([np.sqrt(2 / 24) * np.cos(x @ model.weights + model.phases), x / 6, np.ones((len(x), 1))])
+
+    def fold(i):
+        h = xxhash.xxh64_intdigest
+        v = h(struct.pack("<i", 11), h(struct.pack("<q", i), 42))
+        return (v - (1 << 64) if v >> 63 else v) % 5
+
+    train = np.array([fold(i) != 0 for i in ids])
+    y = np.array([known[i] for i in ids], float)
+    # Ridge as least squares with rows that pull every weight to zero.
+    wide = np.vstack([z[train], np.sqrt(0.3) * np.eye(z.shape[1])])
+    want = np.linalg.lstsq(wide, np.concatenate([y[train], np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.ridge, want, atol=1e-6)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    kx, ky = quality.isotonic(z[~train] @ want, y[~train])
+    assert np.allclose([got[i] for i in ids], np.clip(np.interp(z @ want, kx, ky), 0, 1), atol=1e-6)
+
+
+def test_gains_against_plain_compression():
+    model = toxicity.fit_texts(list(range(200)), [f"plain words {i} " * 9 + ("horrid scoundrel " * (i % 2)) for i in range(200)], np.arange(200) % 2)
+    text = "a horrid scoundrel said plain words " * 60
+    want = []
+    for part in toxicity.windows(text, 512):
+        sizes = []
+        for content in (model.toxic + model.ordinary, model.ordinary):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters(
+                strategy=model.strategy, min_match=4, window_log=16, hash_log=14, chain_log=14, search_log=4, target_length=32, write_content_size=False, write_dict_id=False,
+            )
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(part)))
+        want.append(sizes[1] - sizes[0])
+    assert b"".join(toxicity.windows(text, 512)).decode() == text and len(want) > 3
+    assert model.gains(text).tolist() == want and max(want) > 0
+
+
+def test_smallest_doc_id_of_all(spark):
+    docs = spark.createDataFrame([(-(1 << 63), "a b"), ((1 << 63) - 1, "a b"), (None, "ab ")], "doc_id long, text string")
+    assert {r.keep_id for r in exact_dedup.exact_groups(docs).collect()} == {-(1 << 63)}
+
 def water(given, kids):
     """kids: name -> (weight, capacity). The water level is found by halving, not by order."""
     kids = {k: (w, c) for k, (w, c) in kids.items() if w > 0 and c > 0}
