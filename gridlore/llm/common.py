@@ -63,9 +63,13 @@ def drop_materialised(df: DataFrame) -> None:
         delete_folder(df.sparkSession, folder)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what this session's operators wrote to the shared folder. Their results read it, so call this after these."""
-    while _WRITTEN:
+def drop_scratch(spark: SparkSession, after: str | None = None) -> None:
+    """Delete the folders that this session's operators have named, or those named after one of them.
+
+    Results of operators may read them, so call this when these have been written.
+    """
+    first = _WRITTEN.index(after) + 1 if after else 0
+    while len(_WRITTEN) > first:
         delete_folder(spark, _WRITTEN.pop())
 
 
