@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlore.llm import bpe, exact_dedup, mixing, quality, simhash
-from gridlore.llm.common import read_table, scratch_path
-from gridlore.llm.registry import tokenizer
+from gridlore.llm.common import drop_scratch, read_table, scratch_path
+from gridlore.llm.registry import mixture, tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their leaf's budget says."""
-    return mixing.mixed_documents(docs)
+    """Documents are taken as often as the target weights give their leaf budget."""
+    return mixing.mixed_documents(docs, **mixture())
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_scratch(spark, after=path)  # the stage's own tables; stages' outputs stay
         docs = spark.read.parquet(path)
     return docs
