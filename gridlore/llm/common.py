@@ -151,6 +151,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     return here.unionByName(rest)
 
 
+def text_partitions(docs: DataFrame, most: int, least: int) -> int:
+    """Partitions by the texts' bytes: none much over most, and no more than shuffle partitions below least each."""
+    size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    dealt = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // least)
+    return max(1, dealt, -(-size // most))
+
+
 def row_content() -> Column:
     """A row's text as 32 bytes; with doc_id they say which row it is."""
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))

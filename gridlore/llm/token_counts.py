@@ -1,38 +1,45 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to document frequencies.
 
-1. Documents are dealt to slices (bounded in rows and bytes, or one document). A slice becomes one row for
-   each of its distinct pre-tokens, with the packed (document, frequency) pairs, and one row of its documents.
-2. Pre-tokens are grouped over all slices, with partial sums on the map side, and each distinct one is
-   counted once, by the library.
-3. Frequencies meet counts by pre-token. Pre-tokens of more than 1 in HOT_GROUPS of all rows are so few
-   that they are broadcast; the others are shuffled, and none is larger than that share.
-4. Frequency times count is summed inside each slice; a slice's sums are one small array.
-
+1. Documents are dealt to slices (bounded in rows and bytes, or one document). A slice's distinct pre-tokens
+   are dealt to buckets by their hash; a bucket of a slice is one row: its pre-tokens and, for each of them, the
+   packed (document, frequency) pairs. One more row holds the slice's documents.
+2. Buckets are shuffled, so all rows with a pre-token meet in one task, which asks the library for each distinct
+   one's pieces once and joins these to the pairs: frequency times pieces, summed by document.
+3. Sums are shuffled back to their slices and added up.
+
+A pre-token in over 1 / COMMON of a slice's documents is dealt to one of SALTS buckets by the slice, so that no task gets
+all rows of a very common one; it is counted once in each of these. The buckets' number follows from the texts' bytes.
 No id list of a document is ever built, and no text is shuffled, only distinct pre-tokens of slices.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results;
 a null doc_id stays null; texts of any length are counted whole; special strings inside a text count one each.
+docs should be a table or another input whose partitions come out alike when they are read again.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, join_groups, materialise
+from .common import docs_text, text_partitions
 from .pretokens import ByteLevelEncoder
 
 #: Bounds of a slice; a longer document is a slice of its own.
 SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
-#: A pair of a frequency row, and an entry of a slice's row of documents.
+#: Text that the pre-tokens of one shuffle partition come from, at most, and at least in small tables.
+BUCKET_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
+COMMON, SALTS = 8, 16
+#: What a bucket adds to a document, and an entry of a slice's row of documents.
 PAIR = np.dtype([("doc", "<u2"), ("n", "<u4")])
 DOC = np.dtype([("id", "<i8"), ("valid", "u1"), ("n_bytes", "<i8"), ("special", "<i8")])
 
@@ -61,16 +68,10 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
             yield ids, texts
 
 
-def binaries(raw: bytes, ends: np.ndarray) -> pa.Array:
-    """Consecutive parts of raw as a binary column."""
-    offsets = np.concatenate(([0], ends)).astype("<i4")
-    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-
-
-def slice_rows(ids: list, texts: list[str], encoder: ByteLevelEncoder) -> tuple[bytes, list[str], pa.Array]:
-    """The packed documents of a slice, its distinct pre-tokens, and the pairs of each."""
+def slice_rows(ids: list, texts: list[str], encoder: ByteLevelEncoder, buckets: int, salt: int) -> tuple[bytes, list[tuple[int, bytes]]]:
+    """The packed documents of a slice, and (bucket, packed pre-tokens with their pairs)."""
     number: defaultdict[str, int] = defaultdict(count().__next__)
-    docs, places, lengths = np.zeros(len(ids), DOC), [], []
+    docs, places, lengths = np.zeros(len(ids), DOC), [np.zeros(0, np.int64)], []
     docs["id"], docs["valid"] = [i or 0 for i in ids], [i is not None for i in ids]
     for at, text in enumerate(texts):
         docs["n_bytes"][at] = len(text.encode())
@@ -82,87 +83,120 @@ def slice_rows(ids: list, texts: list[str], encoder: ByteLevelEncoder) -> tuple[
                 places.append(np.fromiter(map(number.__getitem__, part), np.int64, len(part)))
                 n += len(part)
         lengths.append(n)
-    flat = np.concatenate([np.zeros(0, np.int64), *places])
-    key, n = np.unique(flat * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
-    pairs = np.empty(len(key), PAIR)
-    pairs["doc"], pairs["n"] = key % max(1, len(ids)), n
-    ends = np.searchsorted(key // max(1, len(ids)), np.arange(len(number)), "right")
-    return docs.tobytes(), list(number), binaries(pairs.tobytes(), ends * PAIR.itemsize)
-
-
-def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(slice, word, packed): a row for each distinct pre-token of a slice; word null: the slice's documents."""
+    key, n = np.unique(np.concatenate(places) * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
+    word, doc = key // len(ids), key % len(ids)
+    words = [w.encode() for w in number]
+    spread = np.bincount(word, minlength=len(words))  # documents of each pre-token
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    bucket = (bucket + np.where(spread * COMMON > len(ids), salt % SALTS * 0x9E3779B1, 0)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    dealt = np.argsort(rank[word], kind="stable")
+    doc, n = doc[dealt].astype("<u2"), n[dealt].astype("<u4")
+    pairs = np.concatenate(([0], np.cumsum(spread[order])))
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)])) if len(order) else []
+    rows = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        some = slice(pairs[a], pairs[b])
+        parts = (SEPARATOR.join([words[i] for i in order[a:b].tolist()]), spread[order[a:b]].astype("<u2"), doc[some], n[some])
+        rows.append((int(bucket[order[a]]), pack(parts)))
+    return docs.tobytes(), rows
+
+
+#: A byte that UTF-8 never has.
+SEPARATOR = b"\xff"
+
+
+def pack(parts: tuple) -> bytes:
+    """Byte strings and arrays with their lengths, compressed."""
+    raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
+    return zstandard.compress(np.array([len(p) for p in raw], "<u4").tobytes() + b"".join(raw), 1)
+
+
+def unpack(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens, documents of each, and all pairs' documents and frequencies."""
+    raw = zstandard.decompress(packed)
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", 4), dtype=np.int64))) + 16
+    words, spread, doc, n = (raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False))
+    return words.split(SEPARATOR), np.frombuffer(spread, "<u2"), np.frombuffer(doc, "<u2"), np.frombuffer(n, "<u4")
+
+
+def frequencies(docs: DataFrame, tokenizer_path: str, buckets: int) -> DataFrame:
+    """(slice, bucket, packed): a row for each bucket of a slice's pre-tokens; bucket -1: the slice's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _counter(tokenizer_path)
-        at = TaskContext.get().partitionId() << 32
-        for ids, texts in slices(batches):
-            packed, words, pairs = slice_rows(ids, texts, encoder)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([at]), "word": pa.array([None], pa.string()), "packed": pa.array([packed])})
-            for cut in range(0, len(words), 1 << 14):
-                some = pa.array(words[cut : cut + (1 << 14)], pa.string())
-                yield pa.RecordBatch.from_pydict({"slice": pa.array(np.full(len(some), at)), "word": some, "packed": pairs[cut : cut + (1 << 14)]})
-            at += 1
+        first = TaskContext.get().partitionId()
+        for at, (ids, texts) in enumerate(slices(batches)):
+            own, rows = slice_rows(ids, texts, encoder, buckets, first + at)
+            for cut in range(0, len(rows) + 1, 64):
+                some = [(-1, own), *rows][cut : cut + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([first << 32 | at] * len(some), pa.int64()), pa.array([b for b, _ in some], pa.int64()), pa.array([p for _, p in some], pa.binary())],
+                    names=["slice", "bucket", "packed"],
+                )
+
+    return docs_text(docs).mapInArrow(run, "slice long, bucket long, packed binary")
 
-    return docs_text(docs).mapInArrow(run, "slice long, word string, packed binary")
 
+def summed(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(slice, packed) of frequencies' rows: what their pre-tokens add to each document; documents' rows stay.
 
-def counted(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """words with pieces, the count of a pre-token's ids. words: word, n_rows; each word once."""
+    dealt: all rows with a pre-token of one bucket are in one partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _counter(tokenizer_path)
+        encoder, pieces = _counter(tokenizer_path), {}
         for batch in batches:
-            pieces = pa.array(map(encoder.make, batch.column(0).to_pylist()), pa.int64(), size=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces], names=["word", "n_rows", "pieces"])
-
-    return words.select("word", "n_rows").mapInArrow(run, "word string, n_rows long, pieces long")
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(documents, tokens) of each slice. batches: slice, packed, pieces, sorted; a slice's documents first."""
-    now, docs, total = None, None, None
+            out = []
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                packed = packed.as_py()
+                if bucket >= 0:
+                    words, spread, doc, n = unpack(packed)
+                    for w in set(words).difference(pieces):
+                        pieces[w] = encoder.make(w.decode())
+                    counts = np.fromiter(map(pieces.__getitem__, words), np.int64, len(words))
+                    total = np.bincount(doc, np.repeat(counts, spread) * n)  # exact below 2^53
+                    pairs = np.empty(np.count_nonzero(total), PAIR)
+                    pairs["doc"] = np.flatnonzero(total)
+                    pairs["n"] = total[pairs["doc"]]
+                    packed = pairs.tobytes()
+                out.append(packed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["slice", "bucket", "packed"])
+
+    return dealt.mapInArrow(run, "slice long, bucket long, packed binary")
+
+
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, tokens) of each slice. batches: slice, bucket, packed, sorted, so a slice's documents come first."""
+    docs = total = None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        packed, pieces = batch.column(1), batch.column(2)
-        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if a == b:
-                continue
-            if keys[a] != now:
+        for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket < 0:
                 if docs is not None:
                     yield docs, total
-                now, docs = keys[a], np.frombuffer(packed[a].as_py(), DOC)
+                docs = np.frombuffer(packed.as_py(), DOC)
                 total = docs["special"].copy()
-                a += 1
-                if a == b:
-                    continue
-            part = packed.slice(a, b - a)
-            ends = np.frombuffer(part.buffers()[1], "<i4")[part.offset : part.offset + len(part) + 1]
-            raw = np.frombuffer(part.buffers()[2], "u1")[ends[0] : ends[-1]]
-            pairs = raw.view(PAIR)
-            n = np.repeat(pieces.slice(a, b - a).to_numpy(), np.diff(ends) // PAIR.itemsize) * pairs["n"]
-            total += np.bincount(pairs["doc"], n, len(total)).astype(np.int64)  # exact below 2^53
+            else:
+                pairs = np.frombuffer(packed.as_py(), PAIR)  # a document is in it once
+                total[pairs["doc"]] += pairs["n"]
     if docs is not None:
         yield docs, total
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
-    rows = materialise(frequencies(docs, tokenizer_path), "frequencies", "zstd")
-    words = rows.where("word IS NOT NULL")
-    counts = counted(words.groupBy("word").agg(F.count("*").alias("n_rows")), tokenizer_path)
-    counts = materialise(counts, "piece-counts", "zstd")
-    joined = join_groups(words, counts, ["word"], "n_rows").select("slice", "packed", "pieces")
-    # A slice's documents come first in it: no pre-token has a negative count.
-    own = rows.where("word IS NULL").select("slice", "packed", F.lit(-1).cast("long").alias("pieces"))
+    parts = text_partitions(docs, BUCKET_BYTES, LEAST_BYTES)
+    rows = frequencies(docs, tokenizer_path, 4 * parts)  # several buckets a partition even out
+    added = summed(rows.repartition(parts, F.when(F.col("bucket") < 0, -F.col("slice") - 1).otherwise(F.col("bucket"))), tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, total in _sums(batches):
+        for docs, total in totals(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs["id"], mask=docs["valid"] == 0), pa.array(docs["n_bytes"]), pa.array(total), pa.array(total > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    summed = own.unionByName(joined).repartition("slice").sortWithinPartitions("slice", "pieces")
-    return summed.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    back = added.repartition(parts, "slice").sortWithinPartitions("slice", "bucket")
+    return back.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, text_partitions
 from .pretokens import ByteLevelEncoder
 
 SHARD = "shard-{:06d}"
@@ -73,10 +73,7 @@ def id_width(tokenizer_path: str) -> int:
 
 
 def shard_count(docs: DataFrame) -> int:
-    """Shards by the texts' bytes: none much over SHARD_BYTES, and no more than shuffle partitions below LEAST_BYTES each."""
-    size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    dealt = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES)
-    return max(1, dealt, -(-size // SHARD_BYTES))
+    return text_partitions(docs, SHARD_BYTES, LEAST_BYTES)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 0) -> DataFrame:

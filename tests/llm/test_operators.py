@@ -161,22 +161,36 @@ def test_bounded_cache_admits_on_second_sight():
     assert len(cache) <= 2 and len(cache.old) <= 2
 
 
-def test_token_counts_in_small_slices(odd, docs, monkeypatch, joined_by):
+@pytest.mark.parametrize("common", [1, 8, 1000])
+def test_token_counts_in_small_slices(odd, docs, monkeypatch, common):
     lib, path = library("byte_bpe_50k.json"), registry.tokenizer("byte_bpe_50k.json")
     monkeypatch.setattr(token_counts, "SLICE_ROWS", 3)
     monkeypatch.setattr(token_counts, "SLICE_BYTES", 900)
+    monkeypatch.setattr(token_counts, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(token_counts, "COMMON", common)
     df = odd.unionByName(odd).select("doc_id", "text").unionByName(docs.select("doc_id", "text").limit(60))
     want = [(r.doc_id, len(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect()]
     got = token_counts.token_counts(df, path).select("doc_id", "n_tokens").collect()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
 
 
-def test_each_distinct_pretoken_is_counted_once(docs):
-    path = registry.tokenizer("byte_bpe_50k.json")
-    rows = token_counts.frequencies(docs.repartition(6), path).where("word IS NOT NULL")
-    words = rows.groupBy("word").agg(F.count("*").alias("n_rows"))
-    seen = [r.word for r in token_counts.counted(words, path).collect()]
-    assert len(seen) == len(set(seen)) == rows.select("word").distinct().count()
+def test_each_distinct_pretoken_is_in_one_bucket(docs):
+    """Pre-tokens that are common in a slice are in at most SALTS buckets, all others in one, so these are counted once."""
+    encoder, rare, often = token_counts._counter(registry.tokenizer("byte_bpe_50k.json")), defaultdict(set), defaultdict(set)
+    texts = [r.text or "" for r in docs.collect()]
+    for salt in range(20):
+        some = texts[salt * 10 : salt * 10 + 10]
+        seen = [{w for kind, part in encoder.segments(t) if kind == "words" for w in part} for t in some]
+        found = set()
+        for bucket, packed in token_counts.slice_rows(list(range(10)), some, encoder, 97, salt)[1]:
+            words, spread, doc, n = token_counts.unpack(packed)
+            assert len(words) == len(spread) and spread.sum() == len(doc) == len(n)
+            for w, k in zip(words, spread.tolist(), strict=True):
+                assert k == sum(w.decode() in s for s in seen)
+                (often if k * token_counts.COMMON > 10 else rare)[w].add(bucket)
+                found.add(w.decode())
+        assert found == set().union(*seen)
+    assert all(len(b) == 1 for b in rare.values()) and 1 < max(map(len, often.values())) <= token_counts.SALTS
 
 
 def test_exact_groups(odd, docs, none):
