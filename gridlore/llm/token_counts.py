@@ -37,10 +37,9 @@ from .pretokens import ByteLevelEncoder
 #: Bounds of a slice; a longer document is a slice of its own.
 SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
 #: Text that the pre-tokens of one shuffle partition come from, at most, and at least in small tables.
-BUCKET_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
+BUCKET_BYTES, LEAST_BYTES = 64 << 20, 16 << 20
 COMMON, SALTS = 8, 16
-#: What a bucket adds to a document, and an entry of a slice's row of documents.
-PAIR = np.dtype([("doc", "<u2"), ("n", "<u4")])
+#: An entry of a slice's row of documents.
 DOC = np.dtype([("id", "<i8"), ("valid", "u1"), ("n_bytes", "<i8"), ("special", "<i8")])
 
 
@@ -93,13 +92,14 @@ def slice_rows(ids: list, texts: list[str], encoder: ByteLevelEncoder, buckets:
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
     dealt = np.argsort(rank[word], kind="stable")
-    doc, n = doc[dealt].astype("<u2"), n[dealt].astype("<u4")
+    doc, n = doc[dealt], n[dealt].astype("<u4")
     pairs = np.concatenate(([0], np.cumsum(spread[order])))
     edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)])) if len(order) else []
+    gaps = gaps_of(doc, pairs[:-1])
     rows = []
     for a, b in zip(edges, edges[1:], strict=False):
         some = slice(pairs[a], pairs[b])
-        parts = (SEPARATOR.join([words[i] for i in order[a:b].tolist()]), spread[order[a:b]].astype("<u2"), doc[some], n[some])
+        parts = (SEPARATOR.join([words[i] for i in order[a:b].tolist()]), spread[order[a:b]].astype("<u2"), gaps[some], n[some])
         rows.append((int(bucket[order[a]]), pack(parts)))
     return docs.tobytes(), rows
 
@@ -111,15 +111,31 @@ SEPARATOR = b"\xff"
 def pack(parts: tuple) -> bytes:
     """Byte strings and arrays with their lengths, compressed."""
     raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
-    return zstandard.compress(np.array([len(p) for p in raw], "<u4").tobytes() + b"".join(raw), 1)
+    return zstandard.compress(np.array([len(parts), *map(len, raw)], "<u4").tobytes() + b"".join(raw), 1)
 
 
-def unpack(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Pre-tokens, documents of each, and all pairs' documents and frequencies."""
+def unpack(packed: bytes) -> list[bytes]:
     raw = zstandard.decompress(packed)
-    ends = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", 4), dtype=np.int64))) + 16
-    words, spread, doc, n = (raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False))
-    return words.split(SEPARATOR), np.frombuffer(spread, "<u2"), np.frombuffer(doc, "<u2"), np.frombuffer(n, "<u4")
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64))) + 4 * n + 4).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def gaps_of(doc: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rising runs of documents, each from one of starts, as differences, which take less room."""
+    out = np.diff(doc, prepend=0)
+    out[starts] = doc[starts]
+    return out.astype("<u2")
+
+
+def pairs_of(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens, documents of each, and all pairs' documents and frequencies."""
+    words, spread, gaps, n = unpack(packed)
+    spread = np.frombuffer(spread, "<u2")
+    run = np.cumsum(np.frombuffer(gaps, "<u2"), dtype=np.int64)
+    starts = np.cumsum(spread, dtype=np.int64)[:-1]
+    before = np.concatenate(([0], run[starts - 1]))
+    return words.split(SEPARATOR), spread, run - np.repeat(before, spread), np.frombuffer(n, "<u4")
 
 
 def frequencies(docs: DataFrame, tokenizer_path: str, buckets: int) -> DataFrame:
@@ -153,15 +169,13 @@ def summed(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
             for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 packed = packed.as_py()
                 if bucket >= 0:
-                    words, spread, doc, n = unpack(packed)
+                    words, spread, doc, n = pairs_of(packed)
                     for w in set(words).difference(pieces):
                         pieces[w] = encoder.make(w.decode())
                     counts = np.fromiter(map(pieces.__getitem__, words), np.int64, len(words))
                     total = np.bincount(doc, np.repeat(counts, spread) * n)  # exact below 2^53
-                    pairs = np.empty(np.count_nonzero(total), PAIR)
-                    pairs["doc"] = np.flatnonzero(total)
-                    pairs["n"] = total[pairs["doc"]]
-                    packed = pairs.tobytes()
+                    doc = np.flatnonzero(total)
+                    packed = pack((gaps_of(doc, np.array([0])), total[doc].astype("<u4")))
                 out.append(packed)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["slice", "bucket", "packed"])
 
@@ -179,8 +193,8 @@ def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 docs = np.frombuffer(packed.as_py(), DOC)
                 total = docs["special"].copy()
             else:
-                pairs = np.frombuffer(packed.as_py(), PAIR)  # a document is in it once
-                total[pairs["doc"]] += pairs["n"]
+                gaps, n = unpack(packed.as_py())
+                total[np.cumsum(np.frombuffer(gaps, "<u2"), dtype=np.int64)] += np.frombuffer(n, "<u4")  # a document is in it once
     if docs is not None:
         yield docs, total
 

@@ -183,7 +183,7 @@ def test_each_distinct_pretoken_is_in_one_bucket(docs):
         seen = [{w for kind, part in encoder.segments(t) if kind == "words" for w in part} for t in some]
         found = set()
         for bucket, packed in token_counts.slice_rows(list(range(10)), some, encoder, 97, salt)[1]:
-            words, spread, doc, n = token_counts.unpack(packed)
+            words, spread, doc, n = token_counts.pairs_of(packed)
             assert len(words) == len(spread) and spread.sum() == len(doc) == len(n)
             for w, k in zip(words, spread.tolist(), strict=True):
                 assert k == sum(w.decode() in s for s in seen)
