@@ -4,8 +4,8 @@ A region has up to 1024 segments; a segment has a history of snapshots (newest f
 domains, a state log, and a keyed tile feed. File signatures are parameters of a Layout.
 
 Defined cases: a palette of one entry is stored like any other; words that are too short read as index 0; an
-index beyond its palette, a cut file, a wrong signature, version, dimension or length is a ValueError. Columnar
-files whose newest grid is entropy-coded are refused by name.
+index beyond its palette, a cut file, a wrong signature, version, dimension or length is a ValueError. The newest block
+grid of a columnar file may be entropy-coded (Layout.modelled); files of both kinds are read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from typing import Any, NamedTuple
 import numpy as np
 import zstandard
 
+from . import newest_grid
+
 #: Segments of a region, sections by dimension code, cells by domain, sentinel of "unchanged".
 SLOTS, SECTIONS, CELLS, UNCHANGED = 1024, {0: 24, 1: 16, 2: 16}, {"block": 4096, "biome": 64}, 0xFFFF
 #: Newest version of the row layout, version of the columnar one, entries of an indirect palette, index of a direct one.
@@ -157,18 +159,22 @@ class _Sizes(NamedTuple):
 
 @dataclass(frozen=True)
 class Layout:
-    """A file layout: signature and whether columnar. newest: read only so many snapshots of a history (rows; 0: all)."""
+    """A file layout: signature and whether columnar. newest: read only so many snapshots of a history (rows; 0: all).
+
+    modelled: a columnar file's newest block grid is written by the context-mixing model.
+    """
 
     signature: bytes
     columnar: bool = False
     level: int = 8
     newest: int = 0
+    modelled: bool = False
 
     def encode(self, region: Region) -> bytes:
         for slot, s in region.segments.items():
             if any(len(h) != SECTIONS[region.dim] for h in s.sections.values()):
                 raise ValueError(f"segment {slot} doesn't have the dimension's {SECTIONS[region.dim]} sections")
-        body = b"".join(_to_streams(region).values()) if self.columnar else _to_rows(region)
+        body = b"".join(_to_streams(region, self.modelled).values()) if self.columnar else _to_rows(region)
         version = COLUMNAR_VERSION if self.columnar else region.version
         return self.signature + _put("B", version, region.dim) + _put("H", region.protocol) + zstandard.ZstdCompressor(level=self.level).compress(body)
 
@@ -310,7 +316,17 @@ def _ranked(s: Snapshot, cells: int) -> tuple[tuple[int, ...], np.ndarray]:
     return tuple(atoms[order].tolist()), np.argsort(order)[codes]
 
 
-def _to_streams(region: Region) -> dict[str, bytes]:
+def newest_atoms(s: Snapshot) -> np.ndarray | int:
+    """A block snapshot's cells as the model sees them: what its words don't reach is atom 0."""
+    if s.single is not None:
+        return s.single
+    bits = width(len(s.palette))
+    reached = min(len(s.words) * 8 // bits, CELLS["block"])
+    atoms = unpack(s, CELLS["block"]) if reached == CELLS["block"] or not s.palette else np.append(unpack(s, reached), np.zeros(CELLS["block"] - reached, np.int64))
+    return int(atoms[0]) if (atoms == atoms[0]).all() else atoms
+
+
+def _to_streams(region: Region, modelled: bool = False) -> dict[str, bytes]:
     out: dict[str, bytearray] = {name: bytearray() for name in STREAMS}
     present = np.zeros(SLOTS, np.uint8)
     present[list(region.segments)] = 1
@@ -328,9 +344,13 @@ def _to_streams(region: Region) -> dict[str, bytes]:
         meta += _put("H", *lengths)
     for histories in by_domain.values():
         meta += bytes(_kind(s) for s in _level_major(histories, 1))
-    out["model"] += _put("I", 0)
+    grid = b""
+    if modelled:
+        grid = newest_grid.encode({key: newest_atoms(h[0]) for key, h in by_domain["block"].items() if h}, SECTIONS[region.dim])
+    out["model"] += _put("I", len(grid)) + grid
     for domain, histories in by_domain.items():
-        _domain_streams(out, domain, list(_level_major(histories)))
+        told = sum(map(bool, histories.values())) if grid and domain == "block" else 0
+        _domain_streams(out, domain, list(_level_major(histories)), told)
     for _, segment in sorted(region.segments.items()):
         if len(segment.states) > 0xFFFF:
             raise ValueError(f"a log of {len(segment.states)} states is too long")
@@ -347,15 +367,16 @@ def _to_streams(region: Region) -> dict[str, bytes]:
     return {name: bytes(part) for name, part in out.items()}
 
 
-def _domain_streams(out: dict[str, bytearray], domain: str, ordered: list[Snapshot]) -> None:
+def _domain_streams(out: dict[str, bytearray], domain: str, ordered: list[Snapshot], told: int = 0) -> None:
+    """told: so many first snapshots, those of level 0, have their cells in the model."""
     cells, members = CELLS[domain], set()
-    for s in ordered:
+    for s in ordered[told:]:
         if s.single is None:
             members.update(s.palette or np.unique(unpack(s, cells)).tolist())
     ids = {atom: i for i, atom in enumerate(sorted(members))}
     out["global_palette"] += _put("I", len(ids)) + _put("H", *ids)
     out["timestamps"] += _put("q", *(s.ts for s in ordered))
-    for s in ordered:
+    for s in ordered[told:]:
         if s.single is not None:
             out["singles"] += _put("H", s.single)
             continue
@@ -384,8 +405,8 @@ def _from_streams(c: _Cursor, region: Region, newest: int) -> None:
                     kinds[domain][key].append(c.one("B"))
         if any(k not in (1, 2) for of in kinds[domain].values() for k in of):
             raise ValueError(f"invalid {domain} tags")
-    if c.one("I"):
-        raise ValueError("the newest grid is entropy-coded, which isn't supported")
+    payload = c.take(c.one("I"))
+    told = {d: len(kinds[d]) if payload and d == "block" else 0 for d in CELLS}
     shared = {d: c.many("H", c.one("I", 1 << 16)) for d in CELLS}
     for slot in slots:
         n = c.one("H")
@@ -395,8 +416,8 @@ def _from_streams(c: _Cursor, region: Region, newest: int) -> None:
         region.segments[slot].states = list(zip(types, times, strict=True))
     ordered = {d: list(_level_major(kinds[d])) for d in CELLS}
     times = {d: c.many("q", len(ordered[d])) for d in CELLS}
-    singles = {d: iter(c.many("H", ordered[d].count(1))) for d in CELLS}
-    local = {d: [c.many("H", c.one("H", MOST_ENTRIES)) for _ in range(ordered[d].count(2))] for d in CELLS}
+    singles = {d: iter(c.many("H", ordered[d][told[d] :].count(1))) for d in CELLS}
+    local = {d: [c.many("H", c.one("H", MOST_ENTRIES)) for _ in range(ordered[d][told[d] :].count(2))] for d in CELLS}
     sizes: dict[str, int] = defaultdict(int)
     length = lambda d, palette: -(-CELLS[d] * width(len(palette)) // 64) * 8
     for domain in CELLS:
@@ -407,8 +428,12 @@ def _from_streams(c: _Cursor, region: Region, newest: int) -> None:
     packed = {name: _Cursor(c.take(sizes[name])) for name in STREAMS[7:16]}
     for domain in CELLS:
         found: list[Snapshot] = []
+        if told[domain]:
+            grid, atoms, same = newest_grid.decode(payload, sections)
+            for ts, key in zip(times[domain], kinds[domain], strict=False):
+                found.append(Snapshot(ts, int(atoms[same[key]])) if key in same else pack(ts, newest_grid.tile(grid, atoms, *key)))
         entries = iter(local[domain])
-        for ts, kind in zip(times[domain], ordered[domain], strict=True):
+        for ts, kind in zip(times[domain][told[domain] :], ordered[domain][told[domain] :], strict=True):
             if kind == 1:
                 found.append(Snapshot(ts, next(singles[domain])))
                 continue
