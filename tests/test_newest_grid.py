@@ -122,7 +122,7 @@ def test_short_words_are_atom_zero():
 
 def test_refused_grids():
     payload = ng.encode({(0, 0): np.arange(4096) % 5}, 1)
-    for bad in (payload[:10], payload[:20], b"\0" + payload[1:], payload[:8] + b"\2" + payload[9:], payload[:-40] if len(payload) < 60 else payload[:60]):
+    for bad in (payload[:10], payload[:20], b"\1" + payload[1:], payload[:8] + b"\2" + payload[9:], payload[:-40] if len(payload) < 60 else payload[:60]):
         with pytest.raises(ValueError):
             ng.decode(bad, 1)
     with pytest.raises(ValueError):
