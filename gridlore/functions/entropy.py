@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bits of a frequency table's total, and the byte coder's lowest state.
 PRECISION, LOWEST = 12, 1 << 23
@@ -22,17 +24,47 @@ _WORD = 0xFFFFFFFF
 
 
 def frequencies(data: bytes) -> np.ndarray:
-    """256 counts scaled to sum TOTAL, at least 1 for each byte that occurs. What scaling down leaves over goes to
-    the commonest byte; what rounding up took too much comes off the largest entries; ties: the highest byte."""
-    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(np.int64)
-    if not data:
+    """256 counts scaled to sum TOTAL; see scaled()."""
+    return scaled(np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(np.int64))
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts scaled to sum TOTAL, at least 1 for each that isn't 0. What scaling down leaves over goes to the commonest
+    byte; what rounding up took too much comes off the largest entries; ties: the highest byte. No counts stay none."""
+    if not counts.any():
         return counts
-    scaled = np.where(counts > 0, np.maximum(counts * TOTAL // len(data), 1), 0)
+    out = np.where(counts > 0, np.maximum(counts * TOTAL // counts.sum(), 1), 0)
     last_largest = lambda v: 255 - int(np.argmax(v[::-1]))
-    scaled[last_largest(counts)] += max(TOTAL - int(scaled.sum()), 0)
-    for _ in range(int(scaled.sum()) - TOTAL):
-        scaled[last_largest(scaled)] -= 1
-    return scaled
+    out[last_largest(counts)] += max(TOTAL - int(out.sum()), 0)
+    for _ in range(int(out.sum()) - TOTAL):
+        out[last_largest(out)] -= 1
+    return out
+
+
+def byte_counts(rows: DataFrame, text: str) -> DataFrame:
+    """(byte, n) of all texts: counted a batch at a time, at most 256 rows leave a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            for at in range(0, len(column), 256):
+                some = column.slice(at, 256).drop_null().cast(pa.large_binary())
+                total += np.bincount(np.frombuffer(b"".join(some.to_pylist()), np.uint8), minlength=256)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["byte", "n"])
+
+    return rows.select(text).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+def byte_table(rows: DataFrame, text: str) -> DataFrame:
+    """(byte, n, freq, start): the whole frequency table of all texts; at most 256 rows come to the driver for it."""
+    counts = np.zeros(256, np.int64)
+    for r in byte_counts(rows, text).collect():
+        counts[r["byte"]] = r["n"]
+    freq = scaled(counts)
+    made = [(int(b), int(counts[b]), int(freq[b]), int(starts(freq)[b])) for b in np.flatnonzero(counts)]
+    return rows.sparkSession.createDataFrame(made, "byte int, n long, freq int, start long")
 
 
 def starts(freq: np.ndarray) -> np.ndarray:

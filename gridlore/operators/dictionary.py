@@ -70,16 +70,32 @@ def global_palette(cells: DataFrame) -> DataFrame:
 
 def rank_atoms(cells: DataFrame) -> DataFrame:
     """(atom, n, rank) by count descending, atom ascending; at most 65 536 rows are ordered."""
-    sums = cells.groupBy("atom").agg(F.count("*").alias("n"))
+    return rank_sums(cells.groupBy("atom").agg(F.count("*").alias("n")))
+
+
+def rank_sums(sums: DataFrame) -> DataFrame:
+    """(atom, n) with rank; atoms are 16-bit."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "atom")
     return sums.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
 
 
-def classify(cells: DataFrame, key: str) -> DataFrame:
-    """(key, kind, entries, depth): uniform or palette tiles with their sorted distinct atoms."""
+def substitute(cells: DataFrame, table: DataFrame) -> DataFrame:
+    """cells with the atom that table (atom, value) gives for theirs; others stay. Atoms are 16-bit, so the table is broadcast."""
+    values = F.broadcast(table.select(F.col("atom").alias("_from"), F.col("value").alias("_to")))
+    return cells.join(values, F.col("atom") == F.col("_from"), "left").withColumn("atom", F.coalesce("_to", "atom").cast("int")).drop("_from", "_to")
+
+
+def classify(cells: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """(key, kind, entries, depth): uniform or palette tiles with their sorted distinct atoms.
+
+    keys: all tiles; those without cells are absent, with no entries.
+    """
     sets = cells.groupBy(key).agg(F.array_sort(F.collect_set("atom")).alias("entries"))  # at most the cells of a tile
+    if keys is not None:
+        sets = keys.select(key).distinct().join(sets, key, "left").withColumn("entries", F.coalesce("entries", F.expr("CAST(array() AS array<int>)")))
     size = F.size("entries")
-    return sets.select(key, F.when(size == 1, "uniform").otherwise("palette").alias("kind"), "entries", bit_length(size).cast("int").alias("depth"))
+    kind = F.when(size == 0, "absent").when(size == 1, "uniform").otherwise("palette")
+    return sets.select(key, kind.alias("kind"), "entries", bit_length(size).cast("int").alias("depth"))
 
 
 def bitmap(df: DataFrame, key: str, slot: str) -> DataFrame:

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows that a range holds by design, and the most and fewest ranges.
+RANGE_ROWS, MOST_RANGES, LEAST_RANGES = 1_000_000, 4096, 8
+
+
+def range_count(rows: int) -> int:
+    return min(MOST_RANGES, max(LEAST_RANGES, -(-rows // RANGE_ROWS)))
+
+
 def ranges(df: DataFrame, order: str, n: int) -> Column:
     """Number of the range of a numeric order column; bounds are approximate quantiles, at most n - 1 of them."""
     cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else None
@@ -14,8 +22,12 @@ def ranges(df: DataFrame, order: str, n: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
 
 
-def running_sum(df: DataFrame, order: str, value: Column, name: str, n: int = 64, inclusive: bool = False) -> DataFrame:
-    """Sum of value over all rows before (or up to) each row in the global order of a unique numeric column."""
+def running_sum(df: DataFrame, order: str, value: Column, name: str, n: int | None = None, inclusive: bool = False) -> DataFrame:
+    """Sum of value over all rows before (or up to) each row in the global order of a unique numeric column.
+
+    n ranges, by default as many as the rows ask for.
+    """
+    n = n or range_count(df.count())
     dealt = df.withColumn("_v", value).withColumn("_range", ranges(df, order, n))
     totals = dealt.groupBy("_range").agg(F.sum("_v").alias("_t"))
     before = F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -26,7 +38,7 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, n: int = 64
     return out.withColumn(name, (F.col("_inside") + F.col("_before")).cast("long")).drop("_v", "_range", "_inside", "_before")
 
 
-def row_numbers(df: DataFrame, order: str, name: str = "idx", n: int = 64) -> DataFrame:
+def row_numbers(df: DataFrame, order: str, name: str = "idx", n: int | None = None) -> DataFrame:
     """Zero-based position in the global order of a unique numeric column."""
     return running_sum(df, order, F.lit(1), name, n)
 

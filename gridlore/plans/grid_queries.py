@@ -44,18 +44,40 @@ def _lengths(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
-def _vote_sql() -> str:
-    names = [f"n{i}" for i in range(9)]
-    joins = " ".join(_AT(n, *o) for n, o in zip(names, g.OFFSETS, strict=True))
+def _near_sql() -> str:
+    """nb: the cells with their twelve neighbours v0 to v11."""
+    names = [f"n{i}" for i in range(len(g.REACH))]
+    joins = " ".join(_AT(n, *o) for n, o in zip(names, g.REACH, strict=True))
+    return f"xyz AS (SELECT *, {XYZ} FROM c), nb AS (SELECT a.vec_id, a.pos, a.atom, {', '.join(f'coalesce({n}.atom, 65535) AS v{i}' for i, n in enumerate(names))} FROM xyz a {joins})"
+
+
+def _vote_sql(least: int) -> str:
     lists = " UNION ALL ".join(f"SELECT vec_id, pos, atom, {i} AS i, {w} AS w, v{i} AS v FROM nb" for i, w in enumerate(g.VOTES))
-    return f"""WITH {C}, xyz AS (SELECT *, {XYZ} FROM c), nb AS (SELECT a.vec_id, a.pos, a.atom, {', '.join(f'coalesce({n}.atom, 65535) AS v{i}' for i, n in enumerate(names))} FROM xyz a {joins}),
-l AS ({lists}), votes AS (SELECT vec_id, pos, atom, v, min(i) AS i, CASE WHEN v = 65535 THEN -1 ELSE sum(w) END AS votes, count(*) AS k FROM l GROUP BY 1, 2, 3, 4),
-best AS (SELECT vec_id, pos, atom, v FROM votes QUALIFY row_number() OVER (PARTITION BY vec_id, pos ORDER BY votes DESC, i) = 1),
+    return f"""WITH {C}, {_near_sql()},
+l AS ({lists}), votes AS (SELECT vec_id, pos, atom, v, min(i) AS i, max(i) AS last, CASE WHEN v = 65535 THEN -1 ELSE sum(w) END AS votes, count(*) AS k FROM l GROUP BY 1, 2, 3, 4),
+members AS (SELECT vec_id, atom AS v FROM c GROUP BY 1, 2 HAVING count(*) >= {least}),
+best AS (SELECT votes.* FROM votes LEFT JOIN members USING (vec_id, v) QUALIFY row_number() OVER (PARTITION BY votes.vec_id, pos ORDER BY CASE WHEN members.v IS NULL THEN 0 ELSE 1 END DESC, votes DESC, last, i) = 1),
 m AS (SELECT best.vec_id, best.pos, best.atom, best.v AS primary_value, CAST(coalesce(sum(votes.k) FILTER (votes.v <> 65535 AND votes.v <> best.v), 0) AS INT) AS mismatches
 FROM best JOIN votes USING (vec_id, pos) GROUP BY 1, 2, 3, 4)
 SELECT *, CASE WHEN mismatches = 0 THEN 0 WHEN mismatches = 1 THEN 1 WHEN mismatches <= 3 THEN 2 ELSE 3 END AS band FROM m"""
 
 
+def _keys(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id")
+
+
+def _names(s: SparkSession) -> DataFrame:
+    return s.range(0, 32, 3).select(F.col("id").cast("int").alias("atom"), (F.col("id") * 5 + 1).cast("int").alias("value"))
+
+
+def _region_cells(s: SparkSession, d: str) -> DataFrame:
+    at = g.region_position(F.col("pos"), (F.col("vec_id") % 1024).cast("int"), F.floor(F.col("vec_id") / 1024).cast("int"), 4)
+    return cells(s, d).select("vec_id", "pos", at.alias("place"))
+
+
+SPARSE = "atom % 3 <> 0"
+
+
 def _xyz(s: SparkSession, d: str) -> DataFrame:
     c = cells(s, d)
     x, y, z = g.coordinates(F.col("pos"), 4)
@@ -80,7 +102,15 @@ QUERIES = {
     "cell_index": _xyz,
     "neighbors": lambda s, d: g.neighbours(cells(s, d), "vec_id", 4),
     "primary_vote": lambda s, d: g.primary_vote(cells(s, d), "vec_id", 4),
-    "fill_grid": lambda s, d: g.fill_grid(cells(s, d).where("atom % 3 <> 0"), "vec_id", CELLS, 0),
+    "primary_vote_members": lambda s, d: g.primary_vote(cells(s, d), "vec_id", 4, least=5),
+    "cell_read": lambda s, d: g.read_cell(cells(s, d).where(SPARSE), "vec_id", F.col("vec_id") % 64, CELLS),
+    "cell_write": lambda s, d: g.write_cell(cells(s, d), F.col("vec_id") % 64, F.lit(99)),
+    "constant_grid": lambda s, d: g.constant(_keys(s, d), "vec_id", CELLS, F.col("vec_id") % 9),
+    "region_cells": _region_cells,
+    "substitute": lambda s, d: di.substitute(cells(s, d), _names(s)),
+    "classify_absent": lambda s, d: di.classify(cells(s, d, 2).where("pos < 3 AND atom = 1 + vec_id % 3"), "vec_id", _keys(s, d)),
+    "rank_grid": lambda s, d: g.rank_grid(cells(s, d).where(SPARSE), "vec_id", CELLS),
+    "fill_grid": lambda s, d: g.fill_grid(cells(s, d).where(SPARSE), "vec_id", CELLS, 0),
     "voxel_count": lambda s, d: table(s, d, "embeddings").groupBy("label").agg((F.count("*") * CELLS).alias("voxels")),
 }
 
@@ -100,9 +130,17 @@ SELECT area, CAST(slot // 4 AS INT) AS byte_no, CAST(bit_or(kind << CAST(slot %
     "sector_alloc": """WITH s AS (SELECT doc_id, (strlen(text) + 5 + 4095) // 4096 AS sectors FROM documents)
 SELECT doc_id, sectors, CAST(coalesce(sum(sectors) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 AS BIGINT) AS sector FROM s""",
     "cell_index": f"WITH {C} SELECT vec_id, pos, {XYZ}, pos AS pos_back, vec_id % 1024 // 32 * 16 AS x0, pos % 24 * 16 AS y0, vec_id % 1024 % 32 * 16 AS z0 FROM c",
-    "neighbors": f"""WITH {C}, xyz AS (SELECT *, {XYZ} FROM c) SELECT a.vec_id, a.pos, a.atom, coalesce(w.atom, 65535) AS west, coalesce(b.atom, 65535) AS below, coalesce(n.atom, 65535) AS north
-FROM xyz a {_AT('w', -1, 0, 0)} {_AT('b', 0, -1, 0)} {_AT('n', 0, 0, -1)}""",
-    "primary_vote": _vote_sql(),
+    "neighbors": f"WITH {C}, {_near_sql()} SELECT vec_id, pos, atom, {', '.join(f'v{i} AS {n}' for i, n in enumerate(g.NEAR))} FROM nb",
+    "primary_vote": _vote_sql(1),
+    "primary_vote_members": _vote_sql(5),
+    "cell_read": f"WITH {C} SELECT vec_id, CAST(vec_id % 64 AS INT) AS pos, CASE WHEN {SPARSE} THEN atom ELSE 0 END AS atom FROM c WHERE pos = vec_id % 64 AND vec_id IN (SELECT vec_id FROM c WHERE {SPARSE})",
+    "cell_write": f"WITH {C} SELECT vec_id, pos, CASE WHEN pos = vec_id % 64 THEN 99 ELSE atom END AS atom FROM c",
+    "constant_grid": f"SELECT vec_id, CAST(pos AS INT) AS pos, CAST(vec_id % 9 AS INT) AS atom FROM embeddings, range({CELLS}) AS r(pos)",
+    "region_cells": f"WITH {C}, o AS (SELECT *, {XYZ}, vec_id % 1024 AS slot FROM c) SELECT vec_id, pos, CAST((vec_id // 1024 * 4 + y) * 128 * 128 + (slot % 32 * 4 + z) * 128 + slot // 32 * 4 + x AS BIGINT) AS place FROM o",
+    "substitute": f"WITH {C} SELECT vec_id, pos, CAST(CASE WHEN atom % 3 = 0 AND atom BETWEEN 0 AND 31 THEN atom * 5 + 1 ELSE atom END AS INT) AS atom FROM c",
+    "classify_absent": f"WITH {C.replace('* 16', '* 2')}, u AS (SELECT vec_id, list_sort(list(DISTINCT atom)) AS entries FROM c WHERE pos < 3 AND atom = 1 + vec_id % 3 GROUP BY 1) SELECT vec_id, CASE WHEN entries IS NULL THEN 'absent' WHEN len(entries) = 1 THEN 'uniform' ELSE 'palette' END AS kind, coalesce(entries, []) AS entries, CASE WHEN len(entries) > 1 THEN CAST(ceil(log2(len(entries))) AS INT) ELSE 0 END AS depth FROM embeddings LEFT JOIN u USING (vec_id)",
+    "rank_grid": f"""WITH {C}, s AS (SELECT * FROM c WHERE {SPARSE}), t AS (SELECT vec_id, pos, CASE WHEN {SPARSE} THEN atom ELSE 0 END AS atom FROM c WHERE vec_id IN (SELECT vec_id FROM s)),
+n AS (SELECT atom, count(*) AS n FROM t GROUP BY 1), r AS (SELECT atom, CAST(row_number() OVER (ORDER BY n DESC, atom) - 1 AS INT) AS rank FROM n) SELECT vec_id, pos, rank FROM t JOIN r USING (atom)""",
     "fill_grid": f"WITH {C} SELECT vec_id, pos, CASE WHEN atom % 3 <> 0 THEN atom ELSE 0 END AS atom FROM c",
     "voxel_count": "SELECT label, count(*) * 64 AS voxels FROM embeddings GROUP BY 1",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.entropy import byte_table
 from ..operators.ordering import sample_evenly
 from .history_queries import table
 
@@ -72,25 +73,10 @@ def _summary(s: SparkSession, d: str) -> DataFrame:
     return sums.withColumn("ratio", F.try_divide((F.col("after_bytes") - F.col("before_bytes")).cast("double"), F.col("before_bytes").cast("double")))
 
 
-def _bytes(s: SparkSession, d: str) -> DataFrame:
-    """Byte histogram scaled to about 4096 with at least 1 for each byte seen, before the sum is corrected."""
-    h = table(s, d, "documents").select(F.hex(F.encode("text", "utf-8")).alias("h"))
-    pairs = h.select(F.explode(F.regexp_extract_all("h", F.lit("(..)"), 1)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    total = pairs.agg(F.sum("n").alias("total"))
-    out = pairs.join(F.broadcast(total), F.lit(True))  # one row
-    return out.select(F.conv("b", 16, 10).cast("int").alias("byte"), "n", F.greatest(F.floor(F.col("n") * 4096 / F.col("total")), F.lit(1)).cast("int").alias("freq"))
-
-
-def _starts(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    f = _bytes(s, d)  # at most 256 rows
-    before = F.sum("freq").over(Window.partitionBy(F.lit(0)).orderBy("byte").rowsBetween(Window.unboundedPreceding, -1))
-    return f.select("byte", "freq", F.coalesce(before, F.lit(0)).cast("long").alias("start"))
-
-
+# The largest entry bears the whole correction here; the table of a nearly flat histogram would need more steps.
 FREQ = """p AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents), c AS (SELECT b, count(*) AS n FROM p GROUP BY 1),
-f AS (SELECT CAST(('0x' || b) AS INT) AS byte, n, CAST(greatest(floor(CAST(n AS DOUBLE) * 4096 / (SELECT sum(n) FROM c)), 1) AS INT) AS freq FROM c)"""
+g AS (SELECT CAST(('0x' || b) AS INT) AS byte, n, CAST(greatest(n * 4096 // (SELECT sum(n) FROM c), 1) AS INT) AS freq FROM c),
+f AS (SELECT byte, n, CAST(freq + CASE WHEN byte = (SELECT byte FROM g ORDER BY n DESC, byte DESC LIMIT 1) THEN 4096 - (SELECT sum(freq) FROM g) ELSE 0 END AS INT) AS freq FROM g)"""
 
 
 def _bytes_sql(n: str, k: str) -> str:
@@ -109,8 +95,8 @@ QUERIES = {
     "run_summary": _summary,
     "sample_evenly": lambda s, d: sample_evenly(table(s, d, "documents").select("doc_id", "lang"), "doc_id", 128),
     "pending_outputs": lambda s, d: table(s, d, "customer").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name"),
-    "byte_freq": _bytes,
-    "prefix_starts": _starts,
+    "byte_freq": lambda s, d: byte_table(table(s, d, "documents"), "text").select("byte", "n", "freq"),
+    "prefix_starts": lambda s, d: byte_table(table(s, d, "documents"), "text").select("byte", "freq", "start"),
     "smallest_files": lambda s, d: table(s, d, "documents").select("doc_id", "n_chars").orderBy("n_chars", "doc_id").limit(10),
     "dimension_parse": lambda s, d: _located(s, d).select("event_id", sc.parse_dimension(F.when(F.col("dim") == 0, "minecraft:overworld").when(F.col("dim") == 1, "the_nether").otherwise("void")).alias("code")),
 }
