@@ -461,6 +461,19 @@ def _from_streams(c: _Cursor, region: Region, newest: int) -> None:
             region.segments[slot].tiles.append((ts, {p: stored.get(p) for p in positions}))
 
 
-def stream_sizes(region: Region, level: int = 8) -> list[tuple[str, int, int]]:
-    """(stream, bytes, bytes compressed alone) of the columnar layout."""
-    return [(name, len(part), len(zstandard.ZstdCompressor(level=level).compress(part))) for name, part in _to_streams(region).items()]
+def stream_sizes(region: Region, level: int = 8, modelled: bool = False) -> list[tuple[str, int, int]]:
+    """(stream, bytes, bytes compressed alone) of the columnar layout; 'buckets' is all packed streams as one."""
+    streams = _to_streams(region, modelled)
+    streams["buckets"] = b"".join(streams[name] for name in STREAMS[7:16])
+    return [(name, len(part), len(zstandard.ZstdCompressor(level=level).compress(part))) for name, part in streams.items()]
+
+
+def bucket_counts(region: Region, modelled: bool = False) -> dict[str, int]:
+    """Packed snapshots of each bucket stream."""
+    counts = dict.fromkeys(STREAMS[7:16], 0)
+    for domain in CELLS:
+        for history in _histories(region, domain).values():
+            for s in history[1:] if modelled and domain == "block" else history:
+                if s.single is None:
+                    counts[f"{width(len(_ranked(s, CELLS[domain])[0]))}{_MARK[domain]}"] += 1
+    return counts

@@ -11,6 +11,19 @@ DIMENSIONS = {0: "overworld", 1: "nether", 2: "end"}
 DATA_VERSIONS = {765: 3700, 769: 4189}
 
 
+#: Names of the row layout's versions, and of segment states.
+VERSIONS = {1: "0.0.0.1", 2: "0.1.0.0", 3: "0.1.1.0", 4: "0.1.2.0", 5: "0.1.3.0", 6: "0.1.4.0", 7: "1.0.0.0", 8: "1.0.0.1"}
+STATES = {0: "unknown", 1: "new", 2: "old"}
+
+
+def named(code: Column, names: dict[int, str]) -> Column:
+    """The code's name, null if it has none."""
+    out = F.lit(None).cast("string")
+    for k, v in names.items():
+        out = F.when(code == k, v).otherwise(out)
+    return out
+
+
 def shl(value: Column, n: int) -> Column:
     return F.shiftleft(value.cast("long"), n)
 

@@ -162,6 +162,20 @@ def min_latest(df: DataFrame, entity: str, cell: str, n_cells: int, ts: str) ->
     return latest.groupBy(entity).agg(F.min("latest").alias("min_latest"), F.count("*").alias("n")).where(F.col("n") == n_cells).drop("n")
 
 
+def complete_nearest(df: DataFrame, entity: str, cell: str, n_cells: int, ts: str, value: str, at: int) -> DataFrame:
+    """snapshot_nearest of every cell; entities that lack a cell are dropped."""
+    cells = snapshot_nearest(df, [entity, cell], ts, value, at)
+    return cells.withColumn("n", F.count("*").over(Window.partitionBy(entity))).where(F.col("n") == n_cells).drop("n")
+
+
+def complete_latest(df: DataFrame, entity: str, cell: str, n_cells: int, ts: str, value: str) -> DataFrame:
+    """Every cell's newest value with the smallest of the entity's newest timestamps, for complete entities."""
+    newest = df.groupBy(entity, cell).agg(F.max(F.struct(ts, value)).alias("s"))
+    w = Window.partitionBy(entity)
+    out = newest.withColumn("n", F.count("*").over(w)).withColumn("min_latest", F.min(f"s.{ts}").over(w)).where(F.col("n") == n_cells)
+    return out.select(entity, cell, F.col(f"s.{value}").alias(value), "min_latest")
+
+
 def update_changes(old: DataFrame, updates: DataFrame, entity: str, cell: str, value: str) -> DataFrame:
     """Cells that an update changes, summed by entity; cells without a counterpart don't count."""
     both = old.select(entity, cell, F.col(value).alias("was")).join(updates.select(entity, cell, F.col(value).alias("now")), [entity, cell])

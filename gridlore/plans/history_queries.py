@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import temporal as t
+from ..streaming import ingest
+from ..streaming.progress import drained
 
 #: Probe times in microseconds: 2024-01-05, 2024-01-10, and 2024-01-15 UTC.
 T0, T1, T2 = 1704412800000000, 1704844800000000, 1705276800000000
@@ -99,6 +101,21 @@ def _semantic(spark: SparkSession, d: str) -> DataFrame:
     return tagged.groupBy(*cols).agg(F.sum("side").alias("s")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("s") != 0).alias("n_different"))
 
 
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """All events as one stream that ends; within a micro-batch snapshots arrive in the order of their time."""
+    e = _stream(s, d, "events").select(F.col("user_id").alias("entity"), t.micros("ts").alias("ts"), F.col("event_type").alias("cell"), F.floor("value").cast("int").alias("value"))
+    return drained(ingest.ingest(e.withColumn("seq", F.col("ts"))), "ingest").select("entity", "ts", "status", "changes")
+
+
+def _streamed_states(s: SparkSession, d: str) -> DataFrame:
+    o = _stream(s, d, "orders").select(F.col("o_custkey").alias("entity"), t.micros("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("seq"))
+    return drained(ingest.state_log(o), "state-log")
+
+
 QUERIES = {
     "asof_clamp": lambda s, d: t.asof(history(s, d), KEYS, "ts", "atom", T1),
     "asof_join": _asof_join,
@@ -117,6 +134,10 @@ QUERIES = {
     "keyed_replay_all": lambda s, d: t.replay_all(feed(s, d), ["user_id"], "pos", 4),
     "keyed_replay_levels": lambda s, d: t.replay_levels(feed(s, d), ["user_id"], "pos"),
     "complete_asof": lambda s, d: t.complete_asof(history(s, d), "user_id", "event_type", 5, "ts", "atom", T1),
+    "complete_nearest": lambda s, d: t.complete_nearest(history(s, d), "user_id", "event_type", 5, "ts", "atom", T1),
+    "complete_latest": lambda s, d: t.complete_latest(history(s, d), "user_id", "event_type", 5, "ts", "atom"),
+    "stream_ingest": lambda s, d: _ingested(s, d),
+    "stream_state_log": lambda s, d: _streamed_states(s, d),
     "min_latest": lambda s, d: t.min_latest(history(s, d), "user_id", "event_type", 5, "ts"),
     "update_changes": _update,
     "timeline_concat": _timeline,
@@ -149,6 +170,13 @@ QUALIFY row_number() OVER (PARTITION BY user_id, l."at", pos ORDER BY level DESC
 FROM (SELECT feed.*, l."at" FROM feed JOIN levels l ON feed.user_id = l.user_id AND level <= l."at" AND NOT (level = 0 AND op = 'erase')
 QUALIFY row_number() OVER (PARTITION BY feed.user_id, l."at", pos ORDER BY level DESC) = 1) WHERE op = 'put'""",
     "complete_asof": f"WITH {H}, a AS ({asof_sql(T1)}) SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY user_id) = 5",
+    "complete_nearest": f"""WITH {H}, a AS (SELECT user_id, event_type, ts AS nearest, atom FROM h QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY abs(ts - {T1}), ts DESC) = 1)
+SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY user_id) = 5""",
+    "complete_latest": f"""WITH {H}, a AS (SELECT user_id, event_type, atom, ts FROM h QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, atom DESC) = 1)
+SELECT user_id, event_type, atom, min(ts) OVER (PARTITION BY user_id) AS min_latest FROM a QUALIFY count(*) OVER (PARTITION BY user_id) = 5""",
+    "stream_ingest": f"""WITH {H}, g AS (SELECT user_id, event_type, ts, atom, lag(atom) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS was FROM h)
+SELECT user_id AS entity, ts, CASE WHEN count(*) FILTER (was IS DISTINCT FROM atom) = 0 THEN 'unchanged' ELSE 'accepted' END AS status, CAST(count(*) FILTER (was IS DISTINCT FROM atom) AS INT) AS changes FROM g GROUP BY 1, 2""",
+    "stream_state_log": f"WITH {LOG} SELECT o_custkey AS entity, ts, o_orderstatus AS state FROM log",
     "min_latest": f"WITH {H}, l AS (SELECT user_id, event_type, max(ts) AS latest FROM h GROUP BY 1, 2) SELECT user_id, min(latest) AS min_latest FROM l GROUP BY 1 HAVING count(*) = 5",
     "update_changes": f"WITH {H}, a AS ({asof_sql(T1)}), b AS ({asof_sql(T2)}) SELECT user_id, count(*) FILTER (a.atom <> b.atom) AS changes FROM a JOIN b USING (user_id, event_type) GROUP BY user_id",
     "timeline_concat": f"""WITH u AS (SELECT o_custkey AS id, epoch_us(o_orderdate) // 1000000 AS ts, 0 AS o FROM orders UNION ALL SELECT user_id, epoch_us(ts) // 1000000, 1 FROM events

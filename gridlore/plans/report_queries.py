@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.entropy import byte_table
+from ..operators import reports
 from ..operators.ordering import sample_evenly
+from ..streaming import progress
 from .history_queries import table
 
 
@@ -63,6 +65,36 @@ def _formats(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _sizes(s: SparkSession, d: str) -> DataFrame:
+    """Sums of orders by priority: before, and after, which is larger where the priority's first digit is odd."""
+    cents = F.floor("o_totalprice").cast("long")
+    after = F.when(F.substring("o_orderpriority", 1, 1).cast("int") % 2 == 1, cents + F.floor(cents / 7)).otherwise(F.floor(cents / 3))
+    return table(s, d, "orders").groupBy("o_orderpriority").agg(
+        F.count("*").alias("files"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"), F.count_if(F.col("o_orderstatus") == "P").alias("skipped"),
+        F.sum(cents).alias("in_bytes"), F.sum(after).cast("long").alias("out_bytes"),
+    )
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    before, after = F.col("in_bytes"), F.col("out_bytes")
+    return _sizes(s, d).select(
+        "o_orderpriority", reports.ratio_line("Ratio", before, after).alias("bench"), reports.ratio_line("Ratio", before, after, "kB", 7, "n/a").alias("cli"),
+        reports.ratio_line("Ratio", before - before, after, nothing="n/a").alias("nothing"),
+        reports.phase_line("read:", before, after, F.lit(2_500_000_000)).alias("read"), reports.phase_line("write:", before, after, F.lit(0)).alias("write"),
+    )
+
+
+def _pace(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("done"), F.count("*").alias("total"))
+    return o.select("o_custkey", progress.eta(F.col("total") * 1.5, F.col("done"), F.col("total")).cast("double").alias("eta"))
+
+
+def _outcomes(s: SparkSession, d: str) -> DataFrame:
+    """Documents as files: those of one language can't be decoded."""
+    bad = F.col("lang") == "fr"
+    return table(s, d, "documents").select(F.col("n_chars").alias("length"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.when(bad, "no content").alias("error"))
+
+
 def _summary(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders")
     cents = F.floor(F.col("o_totalprice")).cast("long")
@@ -95,6 +127,12 @@ QUERIES = {
     "run_summary": _summary,
     "sample_evenly": lambda s, d: sample_evenly(table(s, d, "documents").select("doc_id", "lang"), "doc_id", 128),
     "pending_outputs": lambda s, d: table(s, d, "customer").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name"),
+    "ratio_line": _lines,
+    "run_report": lambda s, d: reports.run_report(_sizes(s, d), F.lit(12.5)).drop("out_bytes"),
+    "eta": _pace,
+    "enum_names": lambda s, d: table(s, d, "events").select("event_id", sc.named(F.col("event_id") % 10, sc.VERSIONS).alias("version"), sc.named(F.col("event_id") % 4, sc.STATES).alias("state"), sc.named(F.col("event_id") % 5, sc.DIMENSIONS).alias("dimension")),
+    "first_failures": lambda s, d: reports.first_failures(_outcomes(s, d), F.col("error").isNull(), "path", ["error"]),
+    "first_decodable": lambda s, d: reports.first_decodable(_outcomes(s, d)),
     "byte_freq": lambda s, d: byte_table(table(s, d, "documents"), "text").select("byte", "n", "freq"),
     "prefix_starts": lambda s, d: byte_table(table(s, d, "documents"), "text").select("byte", "freq", "start"),
     "smallest_files": lambda s, d: table(s, d, "documents").select("doc_id", "n_chars").orderBy("n_chars", "doc_id").limit(10),
@@ -126,6 +164,17 @@ SELECT o_orderpriority, count(*) AS files, count(*) FILTER (o_orderstatus <> 'F'
     "sample_evenly": """WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM documents)
 SELECT doc_id, lang FROM r WHERE total <= 128 OR idx IN (SELECT i * (SELECT count(*) FROM documents) // 128 FROM range(128) AS g(i))""",
     "pending_outputs": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "ratio_line": f"""WITH o AS (SELECT o_orderpriority, CAST(floor(o_totalprice) AS BIGINT) AS c FROM orders), t AS (SELECT o_orderpriority, CAST(sum(c) AS BIGINT) AS b, CAST(sum(CASE WHEN CAST(o_orderpriority[1] AS INT) % 2 = 1 THEN c + c // 7 ELSE c // 3 END) AS BIGINT) AS a FROM o GROUP BY 1),
+l AS (SELECT *, CASE WHEN a >= b THEN '+' ELSE '-' END AS s, abs(a - b) AS d, printf('%.1f', abs(CAST(a - b AS DOUBLE) / b * 100)) AS p FROM t)
+SELECT o_orderpriority, 'Ratio     : ' || s || {_bytes_sql('d', 'KB')} || ' (' || s || p || '%)' AS bench, 'Ratio  : ' || s || {_bytes_sql('d', 'kB')} || ' (' || s || p || '%)' AS cli, 'n/a' AS nothing,
+ 'read: ' || printf('%5.1f MB/s | ', b / 2.5::DOUBLE / 1e6) || CASE WHEN a / 2.5 >= 1e9 THEN printf('%.2f Gvoxel', a / 2.5::DOUBLE / 1e9) WHEN a / 2.5 >= 1e6 THEN printf('%.2f Mvoxel', a / 2.5::DOUBLE / 1e6) WHEN a / 2.5 >= 1e3 THEN printf('%.2f Kvoxel', a / 2.5::DOUBLE / 1e3) ELSE printf('%.2f voxel', a / 2.5::DOUBLE) END || ' (2500 ms aggregate)' AS read,
+ 'write: n/a  (0 ms aggregate)' AS write FROM l""",
+    "run_report": """WITH t AS (SELECT o_orderpriority, count(*) AS files, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus = 'P') AS skipped, CAST(sum(floor(o_totalprice)) AS BIGINT) AS in_bytes FROM orders GROUP BY 1)
+SELECT *, files - failed - skipped AS ok, in_bytes / 1e6::DOUBLE / 12.5::DOUBLE AS mb_s, CASE WHEN failed > 0 THEN 1 ELSE 0 END AS status FROM t""",
+    "eta": "SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'O') = 0 THEN 0 ELSE CAST(count(*) * 1.5 AS DOUBLE) / count(*) FILTER (o_orderstatus = 'O') * count(*) FILTER (o_orderstatus <> 'O') END AS eta FROM orders GROUP BY 1",
+    "enum_names": "SELECT event_id, ['0.0.0.1', '0.1.0.0', '0.1.1.0', '0.1.2.0', '0.1.3.0', '0.1.4.0', '1.0.0.0', '1.0.0.1'][event_id % 10] AS version, ['unknown', 'new', 'old'][event_id % 4 + 1] AS state, ['overworld', 'nether', 'end'][event_id % 5 + 1] AS dimension FROM events",
+    "first_failures": "SELECT 'd/' || doc_id AS path, 'no content' AS error FROM documents WHERE lang = 'fr' ORDER BY 1 LIMIT 10",
+    "first_decodable": "SELECT n_chars AS length, 'd/' || doc_id AS path FROM documents WHERE lang IS DISTINCT FROM 'fr' ORDER BY 1, 2 LIMIT 1",
     "byte_freq": f"WITH {FREQ} SELECT byte, n, freq FROM f",
     "prefix_starts": f"WITH {FREQ} SELECT byte, freq, CAST(coalesce(sum(freq) OVER (ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM f",
     "smallest_files": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 10",

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from ..functions import anvil, nbt
 from ..functions import regions as rg
 from ..functions.nbt import Tag
 from ..functions.scalars import DATA_VERSIONS, parse_file_name
+from .file_sink import place
 from .region_files import each_file
 from .registry_json import registry
 
@@ -150,8 +152,11 @@ def export_region(region: rg.Region, dim: int, rx: int, rz: int, ts: int, regist
     return anvil.write_region(chunks)
 
 
-def export_files(files: DataFrame, layout: rg.Layout, dim: int, suffix: str, out_suffix: str, ts: int, registries: dict[int, Names], done: DataFrame | None = None) -> DataFrame:
-    """(path, out_path, outcome written/failed/skipped, content, in_bytes, out_bytes, error) of (path, content) rows.
+def export_files(files: DataFrame, layout: rg.Layout, dim: int, suffix: str, out_suffix: str, ts: int, registries: dict[int, Names], done: DataFrame | None = None, root: str | None = None) -> DataFrame:
+    """(path, out_path, outcome, content, in_bytes, out_bytes, error) of (path, content) rows.
+
+    root (a URI): each result is moved to its place below root, content is null and the outcome is written; without
+    root it is made, with the content. Other outcomes: failed, skipped.
 
     done holds the out_paths that exist; their files are not decoded. That is the only join: Spark broadcasts done
     by its size, and otherwise shuffles the files once. Without done there is no shuffle.
@@ -174,8 +179,12 @@ def export_files(files: DataFrame, layout: rg.Layout, dim: int, suffix: str, out
             if content is None:
                 raise ValueError("no content")
             made = export_region(layout.decode(content), dim, row["rx"], row["rz"], ts, registries)
-            return {"outcome": "written", "made": made, "in_bytes": size, "out_bytes": len(made)}
-        except ValueError as e:
+            if root is None:
+                return {"outcome": "made", "made": made, "in_bytes": size, "out_bytes": len(made)}
+            fs, base = pafs.FileSystem.from_uri(root)
+            place(fs, f"{base}/{row['out_path']}", made)
+            return {"outcome": "written", "in_bytes": size, "out_bytes": len(made)}
+        except (ValueError, OSError) as e:
             return {"outcome": "failed", "in_bytes": size, "error": str(e)}
 
     out = each_file(todo, one, "outcome string, made binary, in_bytes long, out_bytes long, error string")
@@ -183,8 +192,8 @@ def export_files(files: DataFrame, layout: rg.Layout, dim: int, suffix: str, out
 
 
 def export_summary(outcomes: DataFrame) -> DataFrame:
-    """One row: files by outcome, bytes in and out of the written ones, and the size ratio."""
-    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("written", "skipped", "failed")]
-    sums = [F.sum(F.when(F.col("outcome") == "written", F.col(c))).alias(c) for c in ("in_bytes", "out_bytes")]
+    """One row: files by outcome, bytes in and out of those written or made, and the size ratio."""
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in ("written", "made", "skipped", "failed")]
+    sums = [F.sum(F.when(F.col("outcome").isin("written", "made"), F.col(c))).alias(c) for c in ("in_bytes", "out_bytes")]
     done = outcomes.agg(F.count("*").alias("files"), *counts, *sums)
     return done.select("*", F.try_divide(F.col("out_bytes") - F.col("in_bytes"), F.col("in_bytes")).alias("ratio"))

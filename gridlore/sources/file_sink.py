@@ -6,12 +6,26 @@ again after a lost executor replaces it by the same bytes. An outcome says writt
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder of the session (spark.checkpoint.dir).
+
+    Where that is unset, a session in one process gets a folder of its own, a cluster one in the warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = f"file://{tempfile.mkdtemp(prefix='gridlore-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/gridlore-scratch"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
 
 OUTCOMES = "path string, target string, outcome string, bytes long, error string"
 

@@ -2,7 +2,7 @@
 
 A file is a unit of work: its size is bounded by the format (1024 segments), its rows are made or read in one
 task, and files spread over tasks. Files come from Spark's binaryFile reader, so any store works; a batch of
-them is bounded by spark.sql.execution.arrow.maxRecordsPerBatch, which read_region_files lowers by its argument.
+them is bounded by spark.sql.execution.arrow.maxRecordsPerBatch, which a session with large files should lower.
 
 A file that can't be read or written gives one record with an error and no others; null content counts as one.
 """
@@ -217,3 +217,30 @@ def snapshot_atoms(records: DataFrame) -> DataFrame:
 
     fields = "path string, slot int, domain string, section int, level int, ts long, atoms array<int>"
     return records.where("record = 'snapshot'").select("path", "slot", "domain", "section", "level", "ts", "single", "palette", "words").mapInPandas(run, fields)
+
+
+def stream_table(files: DataFrame, layout: rg.Layout, level: int = 8) -> DataFrame:
+    """(stream, files, snapshots, bytes, alone_bytes) over all files: what each columnar stream takes, also compressed alone.
+
+    snapshots: packed snapshots of a bucket stream, null for others; the stream 'buckets' is all of these together. Files
+    that can't be read don't count.
+    """
+    buckets = set(rg.STREAMS[7:16])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                try:
+                    region = layout.decode(bytes(content)) if content is not None else None
+                except ValueError:
+                    region = None
+                if region is None:
+                    continue
+                rows = rg.stream_sizes(region, level, layout.modelled)
+                counts = rg.bucket_counts(region, layout.modelled)
+                made = [(name, counts.get(name) if name in buckets else None, n, alone) for name, n, alone in rows]
+                yield pd.DataFrame(made, columns=["stream", "snapshots", "bytes", "alone_bytes"]).astype({"snapshots": "Int64"})
+
+    each = files.select("content").mapInPandas(run, "stream string, snapshots long, bytes long, alone_bytes long")
+    sums = [F.count("*").alias("files"), *(F.sum(c).alias(c) for c in ("snapshots", "bytes", "alone_bytes"))]
+    return each.groupBy("stream").agg(*sums)

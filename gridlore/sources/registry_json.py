@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import block_base, block_properties, parse_file_name
 
@@ -22,8 +23,21 @@ def registry(spark: SparkSession, root: str, protocol: int, kind: str) -> DataFr
     return rows
 
 
-def discover(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """(path, length, rx, rz) of all files with the suffix below root; content is not read, empty files are not listed."""
+def discover(spark: SparkSession, root: str, suffix: str, sample: int | None = None) -> DataFrame:
+    """(path, length, rx, rz) of all files with the suffix below root, by path; content is not read, empty files are not listed.
+
+    sample: so many of them, evenly spread over the order (all, if there are no more).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", "length", *parse_file_name(name, suffix))
+    found = files.select("path", "length", *parse_file_name(name, suffix)).orderBy("path")
+    if sample is None:
+        return found
+    # File names only: a list of files is small beside the files, and the engine has listed them on the driver already.
+    numbered = found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path")) - 1)
+    total = numbered.count()
+    if sample >= total:
+        return found
+    taken = [i * total // sample for i in range(sample)]
+    chosen = spark.createDataFrame([(p,) for p in taken], "place int")
+    return numbered.join(F.broadcast(chosen), "place").orderBy("path").drop("place")

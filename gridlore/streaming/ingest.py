@@ -46,3 +46,25 @@ def _replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 def ingest(stream: DataFrame) -> DataFrame:
     """stream: entity long, ts long, cell string, value int, seq long."""
     return stream.groupBy("entity").applyInPandasWithState(_replay, OUTPUT, "newest long, cells string", "append", GroupStateTimeout.NoTimeout)
+
+
+LOG = "entity long, ts long, state string"
+
+
+def _log(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    ts, last = state.get if state.exists else (None, None)
+    out = []
+    for at, _, now in pd.concat(batches)[["ts", "seq", "state"]].sort_values(["ts", "seq"]).itertuples(index=False):
+        if ts is None or (at > ts and now != last):
+            ts, last = int(at), now
+            out.append((key[0], ts, last))
+    state.update((ts, last))
+    yield pd.DataFrame(out, columns=["entity", "ts", "state"])
+
+
+def state_log(stream: DataFrame) -> DataFrame:
+    """Accepted transitions of entity long, ts long, state string, seq long: newer than the last one and another state.
+
+    A micro-batch's rows are taken in the order of ts and seq; rows of a later batch that aren't newer are late and go.
+    """
+    return stream.groupBy("entity").applyInPandasWithState(_log, LOG, "ts long, state string", "append", GroupStateTimeout.NoTimeout)

@@ -66,8 +66,8 @@ def test_export(spark, tmp_path):
     made = ex.export_files(df, ROWS, 1, "region", "mca", 57, names, done)
     rows = {r.path: r for r in made.collect()}
     total = ex.export_summary(made).first()
-    assert (total.files, total.written, total.skipped, total.failed) == (8, 1, 1, 6) and total.out_bytes == rows["in/r.-1.2.region"].out_bytes
-    assert {p: r.outcome for p, r in rows.items()} == {p: "written" if i == 0 else "skipped" if i == 1 else "failed" for i, (p, _) in enumerate(files)}
+    assert (total.files, total.made, total.skipped, total.failed) == (8, 1, 1, 6) and total.out_bytes == rows["in/r.-1.2.region"].out_bytes
+    assert {p: r.outcome for p, r in rows.items()} == {p: "made" if i == 0 else "skipped" if i == 1 else "failed" for i, (p, _) in enumerate(files)}
     got = rows["in/r.-1.2.region"]
     assert got.out_path == "DIM-1/region/r.-1.2.mca" and got.out_bytes == len(got.content)
     chunks = anvil.read_region(bytes(got.content))
