@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import grid_queries, history_queries, region_queries, report_queries
+from .plans import export_queries, grid_queries, history_queries, region_queries, report_queries
 
-_PARTS = (history_queries, grid_queries, report_queries, region_queries)
+_PARTS = (history_queries, grid_queries, report_queries, region_queries, export_queries)
 
 
 def queries() -> dict:
