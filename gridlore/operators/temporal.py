@@ -6,8 +6,9 @@ timestamps are long microseconds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,12 +105,39 @@ def change_counts(encoded: DataFrame, entity: str, ts: str) -> DataFrame:
 
 
 def state_log(df: DataFrame, keys: Sequence[str], ts: str, state: str, tie: str) -> DataFrame:
-    """Accepted transitions: equal timestamps fold to the first, a state equal to the last accepted goes."""
-    first = Window.partitionBy(*keys, ts).orderBy(tie)
-    once = df.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    w = Window.partitionBy(*keys).orderBy(ts)
-    before = F.lag(state).over(w)
-    return once.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col(state))).drop("before")
+    """Accepted transitions: newer than the last accepted one, and another state. Equal times are taken in the order of tie.
+
+    Of one time the first state counts, or if that is the log's own, the first other one. Where no time of a key has
+    two states, that is a lag. The histories of other keys are folded row by row, in batches of a sorted partition.
+    """
+    first = F.first(state).over(Window.partitionBy(*keys, ts).orderBy(tie))
+    times = df.withColumn("_first", first).groupBy(*keys, ts).agg(
+        F.first("_first").alias("_first"), F.min_by(state, F.when(F.col(state) != F.col("_first"), F.col(tie))).alias("_other")
+    )
+    of_key = Window.partitionBy(*keys)
+    # The window leaves the rows partitioned by the keys, so that the sort below needs no other shuffle.
+    times = times.withColumn("_mixed", F.count("_other").over(of_key) > 0).withColumn("_before", F.lag("_first").over(of_key.orderBy(ts)))
+    plain = times.where(~F.col("_mixed") & (F.col("_before").isNull() | (F.col("_before") != F.col("_first"))))
+    plain = plain.select(*keys, ts, F.col("_first").alias(state))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    width = len(keys)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, now = None, None
+        for frame in frames:
+            kept = []
+            for row in frame.itertuples(index=False):
+                key = row[:width]
+                if key != of:
+                    of, now = key, None
+                taken = next((v for v in row[width + 1 :] if v is not None and v != now), None)
+                if taken is not None:
+                    now = taken
+                    kept.append((*row[: width + 1], taken))
+            yield pd.DataFrame(kept, columns=[*keys, ts, state])
+
+    mixed = times.where("_mixed").select(*keys, ts, "_first", "_other").sortWithinPartitions(*keys, ts)
+    return plain.unionByName(mixed.mapInPandas(fold, kinds))
 
 
 def state_asof(log: DataFrame, keys: Sequence[str], ts: str, state: str, at: int) -> DataFrame:

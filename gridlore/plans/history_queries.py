@@ -45,8 +45,11 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 H = "h AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS ts, CAST(floor(value) AS INT) AS atom FROM events)"
 S = "s AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS ts, o_orderstatus FROM orders)"
-LOG = f"""{S}, once AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey, ts ORDER BY o_orderkey) = 1),
-log AS (SELECT * FROM once WINDOW w AS (PARTITION BY o_custkey ORDER BY ts) QUALIFY lag(o_orderstatus) OVER w IS NULL OR lag(o_orderstatus) OVER w <> o_orderstatus)"""
+LOG = f"""RECURSIVE {S}, f AS (SELECT o_custkey, ts, arg_min(o_orderstatus, o_orderkey) AS a FROM s GROUP BY 1, 2),
+g AS (SELECT o_custkey, ts, a, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> a) AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY ts) AS i FROM f JOIN s USING (o_custkey, ts) GROUP BY 1, 2, 3),
+w AS (SELECT o_custkey, ts, i, a AS state, true AS taken FROM g WHERE i = 1
+ UNION ALL SELECT g.o_custkey, g.ts, g.i, CASE WHEN g.a <> w.state THEN g.a ELSE coalesce(g.b, w.state) END, g.a <> w.state OR g.b IS NOT NULL FROM w JOIN g ON g.o_custkey = w.o_custkey AND g.i = w.i + 1),
+log AS (SELECT o_custkey, ts, state AS o_orderstatus FROM w WHERE taken)"""
 
 
 def asof_sql(at: int, keys: str = "user_id, event_type") -> str:

@@ -73,3 +73,21 @@ def test_empty(spark):
     none = spark.createDataFrame([], "k int, ts long, v int")
     assert t.asof(none, ["k"], "ts", "v", 1).count() == 0
     assert row_numbers(none, "ts").count() == 0
+
+
+def test_state_log_with_several_states_of_one_time(spark):
+    """Against the rule applied row by row, batch and stream."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(12), i, rng.choice("abc")) for i, k in enumerate(k for k in range(40) for _ in range(20))]
+    want = []
+    for k in range(40):
+        last = None
+        for _, at, _, now in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            if last is None or (at > last[0] and now != last[1]):
+                last = (at, now)
+                want.append((k, at, now))
+    df = spark.createDataFrame(rows, "k int, ts long, tie int, s string").repartition(3)
+    assert sorted(map(tuple, t.state_log(df, ["k"], "ts", "s", "tie").collect())) == sorted(want)
+    assert t.state_log(df.where("1 = 0"), ["k"], "ts", "s", "tie").count() == 0
