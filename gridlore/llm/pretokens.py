@@ -67,9 +67,9 @@ class TextSplitter:
 class BoundedCache(dict):
     """word -> make(word) for words of bounded length, in two generations of entries / 2 each.
 
-    A word is admitted when it is made for the second time, which a bit table of hashes remembers, so words
-    that come once don't drive out others. When the new generation is full it becomes the old one; words
-    found there come back, so frequent words stay. Longer words are made each time.
+    When the new generation is full it becomes the old one; words found there come back, so frequent words stay.
+    From then on a word is admitted when it is made for the second time, which a bit table of hashes remembers,
+    so words that come once don't drive out others. Longer words are made each time.
     """
 
     def __init__(self, make, entries: int = 600_000, longest: int = 48, bits: int = 1 << 22):
@@ -82,7 +82,7 @@ class BoundedCache(dict):
         if value is None:
             value = self.make(word)
             self.made += 1
-            if len(word) > self.longest or not self._second(word):
+            if len(word) > self.longest or (self.old and not self._second(word)):
                 return value
         if len(self) >= self.half:
             self.old = dict(self)

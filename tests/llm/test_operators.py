@@ -154,8 +154,10 @@ def test_token_files_in_many_shards(odd, monkeypatch):
 def test_bounded_cache_admits_on_second_sight():
     made = []
     cache = pretokens.BoundedCache(lambda w: made.append(w) or len(w), entries=4, longest=5)
-    assert [cache[w] for w in ("a", "a", "a", "bb", "bb", "bb", "longer", "longer")] == [1, 1, 1, 2, 2, 2, 6, 6]
-    assert made == ["a", "a", "bb", "bb", "longer", "longer"] and set(cache) == {"a", "bb"}
+    assert [cache[w] for w in ("a", "a", "bb", "bb", "longer", "longer")] == [1, 1, 2, 2, 6, 6]
+    assert made == ["a", "bb", "longer", "longer"] and set(cache) == {"a", "bb"}  # there is room for all words at first
+    assert cache["c"] == 1 and set(cache) == {"c"} and set(cache.old) == {"a", "bb"}
+    assert [cache["d"], cache["a"], cache["d"], cache["d"]] == [1] * 4 and made[4:] == ["c", "d", "d"]
     for w in "cdefg" * 3:
         assert cache[w] == 1
     assert len(cache) <= 2 and len(cache.old) <= 2
