@@ -151,6 +151,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     return here.unionByName(rest)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of Arrow batches, at most so many rows and about so many characters; a longer text is alone. Null is empty."""
+    for batch in batches:
+        ids: list = []
+        texts: list[str] = []
+        held = 0
+        for cut in range(0, batch.num_rows, 256):
+            part = batch.slice(cut, 256)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                text = text or ""
+                if ids and (len(ids) == rows or held + len(text) > size):
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                held += len(text)
+        if ids:
+            yield ids, texts
+
+
 def text_partitions(docs: DataFrame, most: int, least: int) -> int:
     """Partitions by the texts' bytes: none much over most, and no more than shuffle partitions below least each."""
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0

@@ -20,9 +20,8 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, text_partitions
-from .pretokens import ByteLevelEncoder
+from .common import docs_text, slices, text_partitions
+from .pretokens import ByteLevelEncoder, split_all
 
 #: Bounds of a slice; a longer document is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
 #: Text that the pre-tokens of one shuffle partition come from, at most, and at least in small tables.
 BUCKET_BYTES, LEAST_BYTES = 64 << 20, 16 << 20
 COMMON, SALTS = 8, 16
@@ -48,43 +47,37 @@ def _counter(path: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(path, len)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) within the bounds."""
-    for batch in batches:
-        ids, size = [], 0
-        texts: list[str] = []
-        for cut in range(0, batch.num_rows, 256):
-            part = batch.slice(cut, 256)
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                text = text or ""
-                if ids and (len(ids) == SLICE_ROWS or size + len(text) > SLICE_BYTES):
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-        if ids:
-            yield ids, texts
-
-
 def slice_rows(ids: list, texts: list[str], encoder: ByteLevelEncoder, buckets: int, salt: int) -> tuple[bytes, list[tuple[int, bytes]]]:
     """The packed documents of a slice, and (bucket, packed pre-tokens with their pairs)."""
-    number: defaultdict[str, int] = defaultdict(count().__next__)
-    docs, places, lengths = np.zeros(len(ids), DOC), [np.zeros(0, np.int64)], []
+    docs = np.zeros(len(ids), DOC)
     docs["id"], docs["valid"] = [i or 0 for i in ids], [i is not None for i in ids]
+    parts, owners = [], []
+    odd: defaultdict[bytes, Counter] = defaultdict(Counter)  # pre-tokens of texts that aren't plain, by document
     for at, text in enumerate(texts):
         docs["n_bytes"][at] = len(text.encode())
-        n = 0
+        if encoder.plain(text):
+            cut = encoder.portions(text)
+            parts += cut
+            owners += [at] * len(cut)
+            continue
         for kind, part in encoder.segments(text):
             if kind == "special":
                 docs["special"][at] += 1
             else:
-                places.append(np.fromiter(map(number.__getitem__, part), np.int64, len(part)))
-                n += len(part)
-        lengths.append(n)
-    key, n = np.unique(np.concatenate(places) * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
+                for w in part:
+                    odd[w.encode()][at] += 1
+    found = split_all(parts)
+    place = np.repeat(np.array(owners, np.int64), np.diff(found.ends, prepend=0))
+    key, n = np.unique(found.numbers.astype(np.int64) * len(ids) + place, return_counts=True)
+    words = found.distinct
+    if odd:
+        number = {w: i for i, w in enumerate(words)}
+        extra = np.array([(number.setdefault(w, len(number)) * len(ids) + at, k) for w, of in odd.items() for at, k in of.items()], np.int64)
+        # A document is either plain or not, so these keys are new.
+        key, n = np.concatenate((key, extra[:, 0])), np.concatenate((n, extra[:, 1]))
+        order = np.argsort(key)
+        key, n, words = key[order], n[order], list(number)
     word, doc = key // len(ids), key % len(ids)
-    words = [w.encode() for w in number]
     spread = np.bincount(word, minlength=len(words))  # documents of each pre-token
     bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
     bucket = (bucket + np.where(spread * COMMON > len(ids), salt % SALTS * 0x9E3779B1, 0)) % buckets
@@ -144,7 +137,7 @@ def frequencies(docs: DataFrame, tokenizer_path: str, buckets: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _counter(tokenizer_path)
         first = TaskContext.get().partitionId()
-        for at, (ids, texts) in enumerate(slices(batches)):
+        for at, (ids, texts) in enumerate(slices(batches, SLICE_ROWS, SLICE_BYTES)):
             own, rows = slice_rows(ids, texts, encoder, buckets, first + at)
             for cut in range(0, len(rows) + 1, 64):
                 some = [(-1, own), *rows][cut : cut + 64]
@@ -170,8 +163,8 @@ def summed(dealt: DataFrame, tokenizer_path: str) -> DataFrame:
                 packed = packed.as_py()
                 if bucket >= 0:
                     words, spread, doc, n = pairs_of(packed)
-                    for w in set(words).difference(pieces):
-                        pieces[w] = encoder.make(w.decode())
+                    new = list(set(words).difference(pieces))
+                    pieces.update(zip(new, encoder.make_counts(new), strict=True))
                     counts = np.fromiter(map(pieces.__getitem__, words), np.int64, len(words))
                     total = np.bincount(doc, np.repeat(counts, spread) * n)  # exact below 2^53
                     doc = np.flatnonzero(total)

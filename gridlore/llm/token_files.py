@@ -36,14 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_partitions
-from .pretokens import ByteLevelEncoder
+from .common import scratch_path, slices, text_partitions
+from .pretokens import ByteLevelEncoder, split_all
 
 SHARD = "shard-{:06d}"
 
 
 #: A shard holds about this much text at most, and a shard of a small table at least the other.
 SHARD_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
+#: Bounds of the texts that are encoded at once; a longer one is alone.
+SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
 #: One entry of a .doc file.
 DOC = np.dtype([("id", "<i8"), ("valid", "u1")])
 
@@ -60,10 +62,29 @@ def _encoder(path: str, width: int) -> ByteLevelEncoder:
     return ByteLevelEncoder(path, _packer(width))
 
 
-def encode_packed(text: str, encoder: ByteLevelEncoder) -> bytes:
-    """The text's ids as packed integers, through the distinct pre-token table."""
+def encode_packed(texts: list[str], encoder: ByteLevelEncoder, width: int) -> list[bytes]:
+    """Each text's ids as packed integers, through the distinct pre-tokens of all texts and the table of known ones."""
+    parts, owners, out = [], [], [b""] * len(texts)
     get = encoder.pieces.__getitem__
-    return b"".join([encoder.value([part]) if kind == "special" else b"".join(map(get, part)) for kind, part in encoder.segments(text)])
+    for at, text in enumerate(texts):
+        if encoder.plain(text):
+            cut = encoder.portions(text)
+            parts += cut
+            owners += [at] * len(cut)
+        else:
+            out[at] = b"".join([encoder.value([part]) if kind == "special" else b"".join([get(w.encode()) for w in part]) for kind, part in encoder.segments(text)])
+    found = split_all(parts)
+    pieces = encoder.pieces.all(found.distinct, lambda words: encoder.make_packed(words, width))
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // width
+    flat = np.frombuffer(b"".join(pieces), f"<u{width}")
+    each = sizes[found.numbers]  # ids of every place
+    ends = np.cumsum(each)
+    begins = (np.cumsum(sizes) - sizes)[found.numbers]  # where these lie among the distinct ones' ids
+    ids = flat[np.repeat(begins - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+    limits = np.append(0, ends)[found.ends].tolist()
+    for at, a, b in zip(owners, [0, *limits], limits, strict=False):
+        out[at] += ids[a:b].tobytes()
+    return out
 
 
 def id_width(tokenizer_path: str) -> int:
@@ -94,18 +115,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         with ExitStack() as stack:
             out = {kind: stack.enter_context(fs.open_output_stream(path)) for kind, path in beside.items()}
             out["idx"].write(bytes(8))
-            for batch in batches:
-                for cut in range(0, batch.num_rows, 256):
-                    part = batch.slice(cut, 256)
-                    packed = [encode_packed(t or "", encoder) + end for t in part.column(1).to_pylist()]
-                    offsets = at + np.cumsum([len(p) // width for p in packed], dtype="<u8")
-                    ids = part.column(0)
-                    docs = np.empty(len(ids), DOC)
-                    docs["id"], docs["valid"] = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-                    out["bin"].write(b"".join(packed))
-                    out["idx"].write(offsets.astype("<u8").tobytes())
-                    out["doc"].write(docs.tobytes())
-                    at, n_docs = int(offsets[-1]), n_docs + len(ids)
+            for ids, texts in slices(batches, SLICE_ROWS, SLICE_BYTES):
+                packed = [p + end for p in encode_packed(texts, encoder, width)]
+                offsets = at + np.cumsum([len(p) // width for p in packed], dtype="<u8")
+                docs = np.array([(i or 0, i is not None) for i in ids], DOC)
+                out["bin"].write(b"".join(packed))
+                out["idx"].write(offsets.astype("<u8").tobytes())
+                out["doc"].write(docs.tobytes())
+                at, n_docs = int(offsets[-1]), n_docs + len(ids)
         # Whole files appear under their names, so readers and repeated tasks never see parts.
         for kind, path in beside.items():
             fs.move(path, f"{name}.{kind}") if n_docs else fs.delete_file(path)

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import functions as F
@@ -151,6 +152,24 @@ def test_token_files_in_many_shards(odd, monkeypatch):
     assert sorted(map(repr, token_files.token_files(hot, path).collect())) == want
 
 
+def test_split_all_against_the_pattern():
+    """Random strings of every class, contractions and white space, alone and beside others, and portions of long ones."""
+    rng = np.random.default_rng(8)
+    alphabet = [*"abstmdrevl", "'", "'", " ", " ", "\n", "\t", "\u00a0", "\u2003", "1", "٣", "!", "-", "é", "日", "😀", "\x1c", "\u0345", "'s", "'re", "'ll", "'ve", "ʼ"]
+    plain = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", f"[{pretokens.SPACES}]").replace(f"[^[{pretokens.SPACES}]", f"[^{pretokens.SPACES}").replace(r"\S", f"[^{pretokens.SPACES}]"))
+    for _ in range(60):
+        texts = ["".join(rng.choice(alphabet, rng.integers(0, 25))) for _ in range(rng.integers(1, 30))]
+        found = pretokens.split_all(texts)
+        ends = found.ends.tolist()
+        for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+            got = [found.distinct[k].decode() for k in found.numbers[a:b]]
+            assert got == plain.findall(text) == pretokens.TextSplitter(pretokens.BYTE_SPLIT).findall(text), text
+    encoder = token_counts._counter(registry.tokenizer("byte_bpe_50k.json"))
+    long = "some words' and don't 12 more\n\n x" * 500
+    cut = encoder.portions(long, 300)
+    assert len(cut) > 20 and "".join(cut) == long and [w for c in cut for w in plain.findall(c)] == plain.findall(long)
+
+
 def test_bounded_cache_admits_on_second_sight():
     made = []
     cache = pretokens.BoundedCache(lambda w: made.append(w) or len(w), entries=4, longest=5)
@@ -161,6 +180,10 @@ def test_bounded_cache_admits_on_second_sight():
     for w in "cdefg" * 3:
         assert cache[w] == 1
     assert len(cache) <= 2 and len(cache.old) <= 2
+    asked = []
+    for words in (list("cdef"), ["longer", "g", "h"], list("hgcx"), list("hgcx")):
+        assert cache.all(words, lambda w: asked.append(w) or list(map(len, w))) == list(map(len, words))
+    assert len(cache) <= 2 and len(cache.old) <= 2 and "longer" not in cache
 
 
 @pytest.mark.parametrize("common", [1, 8, 1000])
