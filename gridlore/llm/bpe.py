@@ -94,6 +94,11 @@ class MergeList:
             if left in fine and right in fine and self.crossing(left, right) == left * top + right:
                 fine.add(token)
         self.usable = {t: i for t, i in self.ids.items() if i in fine}
+        #: first three symbols -> length of the longest token that starts with them
+        self.reach: dict[str, int] = {}
+        for token, i in self.usable.items():
+            if self.size[i] > 2:
+                self.reach[token[:3]] = max(self.size[i], self.reach.get(token[:3], 0))
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -153,6 +158,7 @@ class Transducer:
     def __init__(self, merges: MergeList):
         self.merges = merges
         self.check = 2 * (merges.lookahead + merges.longest)
+        self.crossing = functools.lru_cache(1 << 17)(merges.crossing)  # pairs of tokens come back
         self.peak = 0
         self._clear()
 
@@ -188,11 +194,11 @@ class Transducer:
         to a length is unique, so a length that has failed once has failed for good.
         """
         m, text, path, at, most, failed = self.merges, self.text, [], 0, n, set()
-        usable, crossing, longest = m.usable, m.crossing, m.longest
+        usable, crossing, reach = m.usable, self.crossing, m.reach
         whole = text[:n] + suffix
         first = left = self.left
         while at < n:
-            size = min(most, longest, n - at)
+            size = min(most, n - at, reach.get(text[at : at + 3], 2))
             while size:
                 to = at + size
                 token = usable.get(text[at:to] if to < n else whole[at:])
