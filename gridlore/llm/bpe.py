@@ -155,10 +155,10 @@ class MergeList:
 class Transducer:
     """feed() symbols of one pre-token, finish() it; both give ids as soon as they are final."""
 
-    def __init__(self, merges: MergeList):
+    def __init__(self, merges: MergeList, pairs: int = 1 << 17):
         self.merges = merges
         self.check = 2 * (merges.lookahead + merges.longest)
-        self.crossing = functools.lru_cache(1 << 17)(merges.crossing)  # pairs of tokens come back
+        self.crossing = functools.lru_cache(pairs)(merges.crossing)  # pairs of tokens come back
         self.peak = 0
         self._clear()
 
@@ -253,15 +253,15 @@ class ByteTextDecoder:
 class WordEncoder:
     """Whole texts to ids and back, for a vocabulary with word ends (lower case, white space dropped)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = 400_000):
         self.path, self.merges = path, MergeList(path)
         self.tokens = {i: t for t, i in self.merges.ids.items()} | {i: t for t, i in self.merges.special.items()}
         self.splitter = TextSplitter(WORD_SPLIT)
         self._spaces = re.compile(f"[{SPACES}]+")
         self._cut = re.compile("[ \n]")  # no character composes with these, and every pre-token ends there
         self._special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
-        self.transducer = Transducer(self.merges)
-        self.packed = BoundedCache(self._encode_word, 400_000)
+        self.transducer = Transducer(self.merges, known_words // 4)
+        self.packed = BoundedCache(self._encode_word, known_words)
         self.decoder = ByteTextDecoder(self.tokens)
         self._library = None
 
@@ -317,15 +317,18 @@ class WordEncoder:
 
 
 @functools.cache
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, known_words: int = 400_000) -> WordEncoder:
+    return WordEncoder(path, known_words)
+
 
+def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, known_words: int = 400_000) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids and decoded themselves.
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids and decoded themselves."""
+    known_words bounds the table of pre-tokens that a worker keeps: memory for time, the same results.
+    """
 
     def rows(doc_ids: list, texts: list[str]) -> dict:
-        encoder = word_encoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path, known_words)
         decoder = encoder.decoder
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
         for text in texts:
