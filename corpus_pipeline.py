@@ -30,12 +30,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
-    return bpe.encode_decode(docs, tokenizer("word_bpe_49k.json"))
+    """Token counts and digests of the encoded and decoded texts. Workers keep few pre-tokens, as earlier stages hold memory too."""
+    return bpe.encode_decode(docs, tokenizer("word_bpe_49k.json"), known_words=KNOWN_WORDS)
 
 
 #: A document goes if its calibrated probability of good quality is below this.
 QUALITY_THRESHOLD = 0.5
+#: Pre-tokens that a worker of the encoding stage keeps.
+KNOWN_WORDS = 60_000
 
 STAGES = [
     ("quality classifier", quality_stage),
