@@ -1,12 +1,14 @@
 """Region layouts, their tables, and the entropy coders."""
 
 import struct
+import time
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridlore.functions import entropy as en
 from gridlore.functions import regions as rg
@@ -142,3 +144,51 @@ def test_round_trip_tables(spark):
     rows = spark.createDataFrame([(1, "text é"), (2, ""), (3, None)], "k int, text string")
     for coder in en.CODERS:
         assert {(r.k, r.bytes, r.restored) for r in en.round_trips(rows, "k", "text", coder).collect()} == {(1, 7, True), (2, 0, True), (3, None, None)}
+
+
+def _bit_by_bit(data):
+    coder, chances = en.BitEncoder(), [en.TOTAL // 2] * 256
+    for b in data:
+        for k in range(8):
+            node, bit = (b | 256) >> 8 - k, b >> 7 - k & 1
+            coder.encode(chances[node], bit)
+            chances[node] += ((en.TOTAL - 1) * bit - chances[node]) >> 5
+    return coder.finish()
+
+
+def test_adaptive_lanes():
+    r = np.random.default_rng(5)
+    rare = [bytes(r.choice([0, 255], n, p=[0.998, 0.002]).astype(np.uint8)) for n in r.integers(0, 900, 80).tolist()]  # long codes of single bits
+    words = [b" ".join(r.choice([b"grid", b"of", b"the", b"older", b"cells"], n).tolist()) for n in r.integers(0, 120, 120).tolist()]
+    values = [*BYTES, *rare, *(r.bytes(n) for n in r.integers(0, 300, 80).tolist()), *words]
+    codes = [_bit_by_bit(v) for v in values]
+    assert [en.encode_adaptive(v) for v in values] == codes and en.encode_adaptive_all(values) == codes
+    assert [en.decode_adaptive(c, len(v)) for c, v in zip(codes, values, strict=True)] == values
+    assert en.decode_adaptive_all(codes, [len(v) for v in values]) == values
+    cut, sizes = [c[: len(c) // 2] for c in codes], [len(v) for v in values]
+    assert en.decode_adaptive_all(cut, sizes) == [en.decode_adaptive(c, n) for c, n in zip(cut, sizes, strict=True)]
+    assert en.encode_adaptive_all([]) == en.decode_adaptive_all([], []) == []
+
+
+def test_adaptive_is_side_by_side():
+    r = np.random.default_rng(6)
+    values = [bytes(r.choice(list(b"etaoin shrdlu"), n).astype(np.uint8)) for n in r.integers(500, 700, 2000).tolist()]
+    trip = en.CODERS["adaptive"]
+    began = time.process_time()
+    assert [v for _, v in trip(values)] == values
+    all_s, began = time.process_time() - began, time.process_time()
+    assert [trip([v])[0][1] for v in values[:200]] == values[:200]
+    assert all_s < 5 * (time.process_time() - began)  # of ten times as many values
+
+
+def test_by_length(spark):
+    texts = [None, "", "x" * 70000, *("y" * (n % 900) for n in range(6000)), *("é" * 20000 for _ in range(40))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    held = en.by_length(rows, "k", "text").withColumn("part", F.spark_partition_id()).select("part", F.octet_length("text").alias("n")).toPandas()
+    assert len(held) == len(texts) and held["n"].sum() == sum(len((t or "").encode()) for t in texts)
+    parts = held.groupby("part")["n"].agg(["min", "max", "sum"]).sort_index()
+    assert len(parts) >= 3 and parts["sum"].max() < 1.5 * en.LEAST_PART
+    assert all(low * 1.25 >= high for low, high in zip(parts["min"], parts["max"].shift(-1).dropna(), strict=False))
+    made = {r.k: (r.bytes, r.restored) for r in en.round_trips(rows, "k", "text", "adaptive").collect()}
+    assert made == {k: (None, None) if t is None else (len(t.encode()), True) for k, t in enumerate(texts)}
+    assert en.round_trips(rows.limit(0), "k", "text", "adaptive").collect() == []
